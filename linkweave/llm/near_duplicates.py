@@ -14,6 +14,7 @@ Equal sets form one class, which is what is joined; copies are never expanded.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from ._scratch import drop, store
 from .components import components
 
 U = np.uint64
-MAX_MATCH = 4
+#: Costs for choosing a prefix, see ``choose_match``.
+PRIOR, POSTING, SHIP = 0.05, 10.0, 3.0
 #: Postings a token partition holds on average, and tokens a verification block holds.
 PART_POSTINGS, BLOCK_TOKENS = 4_000_000, 100_000
 #: A bitmap of candidate documents is broadcast up to this many bits (16 MB); beyond, a join selects them.
@@ -74,14 +76,14 @@ def _scan(size: int, bits: int):
 
 def _sketch_row(sketch: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(1, pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, pa.array([sketch.tobytes()], pa.binary())], ["id", "cls", "n", "sketch"])
+    return pa.RecordBatch.from_arrays([none, none, none, pa.array([zlib.compress(sketch.astype(np.int64).tobytes(), 1)], pa.binary())], ["id", "cls", "n", "sketch"])
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
         for blob in batch.column(3):
-            one = np.frombuffer(blob.as_buffer(), np.int64)
+            one = np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
             total = one.copy() if total is None else total + one
     if total is not None:
         yield _sketch_row(total)
@@ -95,7 +97,7 @@ def _sum_sketches(rows: DataFrame, bits: int) -> np.ndarray:
         rows = rows.repartition(n).mapInArrow(_add_sketches, rows.schema)
     total = np.zeros(1 << bits, np.int64)
     for row in rows.select("sketch").coalesce(1).mapInArrow(lambda it: (b.select(["sketch"]) for b in _add_sketches(_pad(it))), "sketch binary").collect():
-        total += np.frombuffer(row[0], np.int64)
+        total += np.frombuffer(zlib.decompress(row[0]), np.int64)
     return total
 
 
@@ -105,21 +107,25 @@ def _pad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([none, none, none, b.column(0)], ["id", "cls", "n", "sketch"])
 
 
-def choose_match(key_class: np.ndarray, start: np.ndarray, n: np.ndarray, need: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def choose_match(kind: np.ndarray, start: np.ndarray, n: np.ndarray, need: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(l, prefix length) of each set, from its tokens' sketch classes in prefix order.
 
-    Costs are in token operations: 10 a posting, and set size + 40 a candidate.
-    Candidates that match ``l`` tokens use ``l`` postings each, so their number is
-    estimated as the prefix's excess frequency over ``l``.
+    A candidate that matches ``l`` tokens uses ``l`` postings, so candidates are
+    estimated as the prefix's expected matches over ``l``: the excess frequency
+    that the sketch shows, and ``PRIOR`` a token for what its noise hides.  Costs
+    are in token operations, ``POSTING`` a posting and ``SHIP`` a token of a
+    candidate's set.
     """
-    mass = np.concatenate([[0.0], np.cumsum(excess[key_class])])
+    mass = np.concatenate([[0.0], np.cumsum(excess[kind] + PRIOR)])
     best = np.full(len(n), np.inf)
     ell, length = np.ones(len(n), np.int64), np.zeros(len(n), np.int64)
-    for k in range(1, MAX_MATCH + 1):
+    k = 1
+    while k <= max(1, int(need.max(initial=1))):
         p = np.minimum(n - need + k, n)
-        cost = 10.0 * p + (n + 40) * (mass[start + p] - mass[start]) / k
+        cost = POSTING * p + SHIP * n * (mass[start + p] - mass[start]) / k
         better = (cost < best) & (k <= need) & (n > 0)
         best[better], ell[better], length[better] = cost[better], k, p[better]
+        k *= 2
     return ell, length
 
 
@@ -136,7 +142,7 @@ def _postings(size: int, percent: int, bits: int, order: np.ndarray, excess: np.
             rows = row[lo:hi]
             runs = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1], True])
             mine = rows[runs[:-1]]
-            for k, v in enumerate((int(part[lo]), token[lo:hi].tobytes(), np.diff(runs).astype(np.int32).tobytes(), cls[mine].tobytes(), n[mine].astype(np.int32).tobytes(), ell[mine].astype(np.uint8).tobytes())):
+            for k, v in enumerate((int(part[lo]), token[lo:hi].tobytes(), np.diff(runs).astype(np.int32).tobytes(), cls[mine].tobytes(), n[mine].astype(np.int32).tobytes(), ell[mine].astype(np.int32).tobytes())):
                 out[k].append(v)
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(x, pa.binary()) for x in out[1:]], ["part", "token", "cnt", "cls", "n", "ell"])
 
@@ -186,7 +192,7 @@ def _pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[] for _ in range(5)]
         for batch in batches:
-            for k, kind in enumerate((np.uint64, np.int32, np.int64, np.int32, np.uint8)):
+            for k, kind in enumerate((np.uint64, np.int32, np.int64, np.int32, np.int32)):
                 got[k] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k + 1)]
         if not got[0]:
             return
@@ -248,74 +254,47 @@ def _full_sets(size: int, bitmap: np.ndarray | None):
     return run
 
 
-def _overlaps(sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact intersection sizes of the pairs of a block."""
-    if len(a) < 3 * len(sets):
-        out = np.zeros(len(a), np.int64)
-        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-            s, t = sets[x], sets[y]
-            if len(s) < len(t):
-                s, t = t, s
-            at = s.searchsorted(t)
-            at[at == len(s)] = 0
-            out[k] = (s[at] == t).sum()
-        return out
-    keys = list(sets)
-    row = {c: i for i, c in enumerate(keys)}
-    tokens = np.concatenate([sets[c] for c in keys])
-    owner = np.repeat(np.arange(len(keys)), [len(sets[c]) for c in keys])
-    _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    owner, column = owner[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    x, y = np.array([row[c] for c in a.tolist()]), np.array([row[c] for c in b.tolist()])
-    total = np.zeros((len(keys), len(keys)), np.float32)
-    width = 4096
-    by = np.argsort(column, kind="stable")
-    owner, column = owner[by], column[by]
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        i, j = np.searchsorted(column, [lo, lo + width])
-        dense = np.zeros((len(keys), width), np.float32)
-        dense[owner[i:j], column[i:j] - lo] = 1
-        total += dense @ dense.T
-    return total[x, y].astype(np.int64)
+class Block:
+    """The sets at home in one block, as one sorted token column; others are counted against it one at a time."""
 
+    def __init__(self, sets: dict[int, np.ndarray]):
+        self.row = {c: i for i, c in enumerate(sets)}
+        self.size = np.array([len(x) for x in sets.values()], np.int64)
+        tokens = np.concatenate(list(sets.values())) if sets else np.zeros(0, np.uint64)
+        by = np.argsort(tokens)
+        self.tokens, self.owner = tokens[by], np.repeat(np.arange(len(sets)), self.size)[by]
+
+    def overlaps(self, one: np.ndarray) -> np.ndarray:
+        lo, hi = self.tokens.searchsorted(one, "left"), self.tokens.searchsorted(one, "right")
+        m = hi - lo
+        at = np.repeat(lo - np.cumsum(m) + m, m) + np.arange(m.sum())
+        return np.bincount(self.owner[at], minlength=len(self.size))
 
-def _verify(percent: int):
-    def settle(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        sets = {a: np.frombuffer(blob, np.uint64) for a, _, blob in group if blob is not None}
-        a = np.array([x[0] for x in group if x[2] is None], np.int64)
-        b = np.array([x[1] for x in group if x[2] is None], np.int64)
-        inter = _overlaps(sets, a, b)
-        sizes = np.array([len(sets[x]) for x in a.tolist()], np.int64) + np.array([len(sets[x]) for x in b.tolist()], np.int64)
-        ok = 100 * inter >= percent * (sizes - inter)
-        return a[ok], b[ok]
 
+def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b, held = [], [], 0
-        group: list[tuple] = []
-        last = None
+        out: list[tuple[int, int]] = []
+        last, sets, block = None, {}, None
         for batch in batches:
-            key, a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            home, cls, ends = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             blob = batch.column(3)
             for k in range(batch.num_rows):
-                if key[k] != last:
-                    if group:
-                        x, y = settle(group)
-                        out_a.append(x)
-                        out_b.append(y)
-                        held += len(x)
-                    group, last = [], key[k]
-                group.append((a[k], b[k], blob[k].as_py() if b[k] is None else None))
-            if held > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-                out_a, out_b, held = [], [], 0
-        if group:
-            x, y = settle(group)
-            out_a.append(x)
-            out_b.append(y)
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+                if home[k] != last:
+                    last, sets, block = home[k], {}, None
+                one = np.frombuffer(blob[k].as_buffer(), np.uint64)
+                with_ = ends[k].as_py()
+                if with_ is None:
+                    sets[cls[k]] = one
+                    continue
+                if block is None:
+                    block = Block(sets)
+                row = np.array([block.row[c] for c in with_])
+                inter = block.overlaps(one)[row]
+                ok = 100 * inter >= percent * (block.size[row] + len(one) - inter)
+                out += [(c, cls[k]) for c, fine in zip(with_, ok.tolist()) if fine]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+                out = []
 
     return run
 
@@ -374,20 +353,22 @@ def similar_documents(
     label = ends.groupBy("v").agg(F.min("w").alias("w"), F.max("n").alias("n")).select("v", F.least("v", "w").alias("label"), "n")
     spread = label.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("k"))
     place = store(label.join(spread, "label").select("v", F.xxhash64("label", F.pmod(F.xxhash64("v"), "k")).alias("g")))
-    keyed = (
+    at_home = F.col("ga") <= F.col("gb")
+    visits = (
         found.join(place.select(F.col("v").alias("a"), F.col("g").alias("ga")), "a")
         .join(place.select(F.col("v").alias("b"), F.col("g").alias("gb")), "b")
-        .select(F.xxhash64(F.least("ga", "gb"), F.greatest("ga", "gb")).alias("key"), "a", "b")
+        .select(F.least("ga", "gb").alias("home"), F.when(at_home, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(at_home, F.col("b")).otherwise(F.col("a")).alias("cls"))
     )
-    members = keyed.select("key", F.col("a").alias("cls")).union(keyed.select("key", "b")).distinct()
+    visits = store(visits.groupBy("home", "cls").agg(F.collect_list("x").alias("ends")))
+    members = visits.select("home", F.explode("ends").alias("cls")).distinct().select("home", "cls", F.lit(None).cast("array<long>").alias("ends")).union(visits)
     chosen = place.select(F.col("v").alias("cls")).join(classes.select("cls", F.col("low").alias("id")), "cls")
     bitmap, bits = _candidate_bitmap(chosen, place.count())
     wanted = base.select("text", F.xxhash64("id").bitwiseAND(F.lit(bits - 1)).alias("p"))
     if bitmap is None:
         wanted = base.join(chosen.select("id").distinct(), base["id"].eqNullSafe(chosen["id"]), "left_semi").select("text", F.lit(0).cast("long").alias("p"))
     sets = wanted.mapInArrow(_full_sets(size, bitmap), "cls long, blob binary")
-    work = members.join(sets, "cls").select("key", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "blob").unionByName(keyed.withColumn("blob", F.lit(None).cast("binary")))
-    links = store(work.repartition("key").sortWithinPartitions("key", F.col("b").isNotNull()).mapInArrow(_verify(percent), "a long, b long"))
+    work = members.join(sets, "cls").select("home", "cls", "ends", "blob")
+    links = store(work.repartition("home").sortWithinPartitions("home", F.col("ends").isNotNull()).mapInArrow(_verify(percent), "a long, b long").distinct())
 
     both = links.union(links.select("b", "a"))
     near = both.join(classes.select(F.col("cls").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
@@ -405,4 +386,5 @@ def similar_documents(
     )
     drop(place)
     drop(found)
+    drop(visits)
     return out
