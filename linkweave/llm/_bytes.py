@@ -64,13 +64,13 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of rows of about ``limit`` bytes, at least one row each."""
+def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK, most: int = 60_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) for runs of rows of about ``limit`` bytes, 1 to ``most`` rows each."""
     raw, offsets = buffers(column)
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        j = min(j, n, i + 60_000)
+        j = min(j, n, i + most)
         yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 

@@ -30,7 +30,7 @@ U = np.uint64
 #: Costs for choosing a prefix, see ``choose_match``.
 PRIOR, POSTING, SHIP = 0.05, 10.0, 3.0
 #: Postings a token partition holds on average, and tokens a verification block holds.
-PART_POSTINGS, BLOCK_TOKENS = 4_000_000, 100_000
+PART_POSTINGS, BLOCK_TOKENS = 2_000_000, 100_000
 #: A bitmap of candidate documents is broadcast up to this many bits (16 MB); beyond, a join selects them.
 BITMAP_BITS = 1 << 27
 
@@ -219,7 +219,7 @@ def _pairs(percent: int):
         codes, counts, held, i = [], [], 0, 0
         while i < len(who):
             base = total[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(total, base + 2_000_000, "right")))
+            j = max(i + 1, int(np.searchsorted(total, base + 1_000_000, "right")))
             mm = m[i:j]
             left = np.repeat(np.arange(i, j), mm)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(mm) - mm, mm)
@@ -229,7 +229,7 @@ def _pairs(percent: int):
             counts.append(count)
             held += len(code)
             i = j
-            if held > 6_000_000 or i == len(who):
+            if held > 2_500_000 or i == len(who):
                 code, inv = np.unique(np.concatenate(codes), return_inverse=True)
                 count = np.bincount(inv, np.concatenate(counts)).astype(np.int64)
                 for lo in range(0, len(code), 200_000):
