@@ -51,6 +51,9 @@ def _sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
     return h, of, n, B.mix(sums + n.astype(np.uint64))
 
 
+_SCANNED = ["id", "cls", "n", "h", "sketch"]
+
+
 def _scan(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.int64)
@@ -64,9 +67,10 @@ def _scan(size: int, bits: int):
                         batch.column(0).slice(i, j - i),
                         pa.array(cls.view(np.int64), pa.int64(), mask=empty),
                         pa.array(n, pa.int64()),
+                        batch.column(2).slice(i, j - i),
                         pa.nulls(j - i, pa.binary()),
                     ],
-                    ["id", "cls", "n", "sketch"],
+                    _SCANNED,
                 )
         if sketch.any():
             yield _sketch_row(sketch)
@@ -76,13 +80,13 @@ def _scan(size: int, bits: int):
 
 def _sketch_row(sketch: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(1, pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, pa.array([zlib.compress(sketch.astype(np.int64).tobytes(), 1)], pa.binary())], ["id", "cls", "n", "sketch"])
+    return pa.RecordBatch.from_arrays([none, none, none, none, pa.array([zlib.compress(sketch.astype(np.int64).tobytes(), 1)], pa.binary())], _SCANNED)
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
-        for blob in batch.column(3):
+        for blob in batch.column(4):
             one = np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
             total = one.copy() if total is None else total + one
     if total is not None:
@@ -104,7 +108,7 @@ def _sum_sketches(rows: DataFrame, bits: int) -> np.ndarray:
 def _pad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         none = pa.nulls(b.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, b.column(0)], ["id", "cls", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, b.column(0)], _SCANNED)
 
 
 def choose_match(kind: np.ndarray, start: np.ndarray, n: np.ndarray, need: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,13 +323,15 @@ def _candidate_bitmap(ids: DataFrame, n: int) -> tuple[np.ndarray | None, int]:
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 70, sketch_bits: int = 20
 ) -> DataFrame:
-    """One row per row of ``docs``: id_col, n_shingles, class_id, n_similar, component_id.
+    """One row per row of ``docs``: id_col, n_shingles, class_id, n_similar, component_id,
+    component_class, text_hash.
 
     Two rows link when 100 * intersection >= percent * union of their sets of
     distinct ``size``-word shingles (A-Z lower-cased; words are runs without ASCII
     white space; a text of fewer words is one shingle).  ``class_id`` names rows of
     equal sets, ``n_similar`` counts the other rows linked, ``component_id`` is the
-    smallest id reachable through links.
+    smallest id reachable through links, ``component_class`` names the component also
+    where no id does, and ``text_hash`` (xxhash64) tells rows of equal ids apart.
 
     A null, empty or white text has no set, class or link and is its own
     component.  A null id is carried along and counts as a row; it never is the
@@ -334,8 +340,9 @@ def similar_documents(
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    scan = store(base.mapInArrow(_scan(size, sketch_bits), "id long, cls long, n long, sketch binary"))
-    rows = scan.filter("n is not null").select("id", "cls", "n")
+    hashed = base.withColumn("h", F.xxhash64("text"))
+    scan = store(hashed.mapInArrow(_scan(size, sketch_bits), "id long, cls long, n long, h long, sketch binary"))
+    rows = scan.filter("n is not null").select("id", "cls", "n", "h")
     classes = store(rows.filter("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("low"), F.max("n").alias("n")))
     sketch = _sum_sketches(scan.filter("sketch is not null"), sketch_bits)
     noise = sketch.mean()
@@ -376,13 +383,14 @@ def similar_documents(
     low = comp.join(classes.select(F.col("cls").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("component"))
     facts = (
         classes.join(near.withColumnRenamed("a", "cls"), "cls", "left")
-        .join(comp.join(low, "root").select(F.col("node").alias("cls"), "component"), "cls", "left")
+        .join(comp.join(low, "root").select(F.col("node").alias("cls"), "root", "component"), "cls", "left")
         .filter("copies > 1 or near is not null")
-        .select("cls", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"), F.coalesce("component", "low").alias("component_id"))
+        .select("cls", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"), F.coalesce("component", "low").alias("component_id"), F.coalesce("root", "cls").alias("root"))
     )
     out = rows.join(facts, "cls", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"),
         F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("root", "cls").alias("component_class"), F.col("h").alias("text_hash"),
     )
     drop(place)
     drop(found)

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import similar_documents
 
-    return similar_documents(_table(spark, sf_dir, "documents")).drop("class_id")
+    return similar_documents(_table(spark, sf_dir, "documents")).drop("class_id", "component_class", "text_hash")
 
 
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
