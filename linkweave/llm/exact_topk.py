@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .vectors import best, matrix, top, usable
 
-SHARD_ROWS, BLOCK_DIMS = 65_536, 8
+SHARD_ROWS, BLOCK_DIMS = 16_384, 8
 
 
 class Shard:
@@ -103,7 +103,7 @@ def exact_topk(table: DataFrame, every: int = 50, k: int = 5, scale: float = 256
     """query_id, rank, vec_id, score: the k largest integer inner products of each row whose id ``every`` divides.
 
     Components become floor(scale * x) as 64-bit integers (beyond that range they
-    saturate).  Candidates are all rows but those with the query's own id; ties go
+    saturate) and products beyond it wrap.  Candidates are all rows but those with the query's own id; ties go
     to the smaller id; rows with equal ids are separate candidates.  Rows with a
     null id, and vectors null, empty, of another than the commonest length, or
     holding null or non-finite components, take no part.  Other columns are not read.
