@@ -25,8 +25,8 @@ from . import _bytes as B
 from ._scratch import store
 from .vectors import best, matrix, top, usable
 
-#: Numbers in the sample; centroids a half at most; rows a shard holds in memory.
-SAMPLE_FLOATS, MOST_CENTROIDS, SHARD_ROWS = 1_300_000, 256, 8_192
+#: Numbers in the sample; centroids a half at most; rows a shard holds in memory; queries a task walks.
+SAMPLE_FLOATS, MOST_CENTROIDS, SHARD_ROWS, TASK_QUERIES = 1_300_000, 256, 8_192, 200
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -210,7 +210,9 @@ def nearest_neighbours(table: DataFrame, every: int = 20, k: int = 20, recall: f
         else:
             held += c
     ask = coded.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("copies"))
-    enough = max(share * n, k + (ask.agg(F.max("copies")).first()[0] or 1))
+    asked, copies = ask.agg(F.count("*"), F.max("copies")).first()
+    enough = max(share * n, k + (copies or 1))
+    ask = ask.repartition(max(1, math.ceil(asked / TASK_QUERIES)))  # a walk costs far more than its row's bytes tell
     schema = "shard long, is_query boolean, vec_id long, cells binary, v binary"
     work = coded.mapInArrow(_deal(first, split), schema).union(ask.select("vec_id", "v").mapInArrow(_visit(index, counts, first, split, enough), schema))
     found = work.repartition("shard").sortWithinPartitions("shard", "is_query").mapInArrow(_rerank(k), "query_id long, vec_id long, score double")
