@@ -13,6 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# The default pool keeps freed batches; a worker of an executor should give them back.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U = np.uint64
 BLOCK = 1 << 20
 _rng = np.random.default_rng(20240607)

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
@@ -121,35 +121,38 @@ def repeated_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -
     return out
 
 
-def _cut(text_at: int, names: list[str]):
+def _cut(text_at: int, names: list[str], rows: int = 500):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed, total = [], [], []
-            runs, copy = batch.column(batch.schema.get_field_index("__runs")), batch.column(batch.schema.get_field_index("__copy"))
-            least = batch.column(batch.schema.get_field_index("__long"))
-            for k, value in enumerate(batch.column(text_at)):
-                text, mine = value.as_py(), runs[k].as_py()
-                lines = text.split("\n") if text is not None and (mine or copy[k].as_py() > 1) else None
-                n = len(lines) if lines is not None else (text.count("\n") + 1 if text is not None else 0)
-                gone = 0
-                if lines is not None:
-                    keep = np.ones(n, bool)
-                    if copy[k].as_py() > 1 and least[k].as_py():
-                        keep[:] = False
-                    for r in mine or []:
-                        keep[r["start"] : r["start"] + r["length"]] = False
-                    gone = n - int(keep.sum())
-                    text = "\n".join(x for x, stays in zip(lines, keep) if stays)
-                texts.append(text)
-                removed.append(gone)
-                total.append(n)
-            own = {name: c for name, c in zip(batch.schema.names, batch.columns)}
-            own[batch.schema.names[text_at]] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*(own[c] for c in names), pa.array(total, pa.int32()), pa.array(removed, pa.int32())], [*names, "n_lines", "lines_removed"])
+            for lo in range(0, batch.num_rows, rows):  # few texts at a time are Python strings
+                yield cut(batch.slice(lo, rows))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs, copy, long = (batch.column(batch.schema.get_field_index(c)) for c in ("__runs", "__copy", "__long"))
+        texts, removed, total = [], [], []
+        for value, mine, nth, whole in zip(batch.column(text_at), runs.to_pylist(), copy.to_pylist(), long.to_pylist()):
+            text = value.as_py()
+            lines = [] if text is None else text.split("\n")
+            keep = np.full(len(lines), not (nth > 1 and whole))
+            for r in mine or []:
+                keep[r["start"] : r["start"] + r["length"]] = False
+            if not keep.all():
+                text = "\n".join(x for x, stays in zip(lines, keep) if stays)
+            texts.append(text)
+            removed.append(len(lines) - int(keep.sum()))
+            total.append(len(lines))
+        own = dict(zip(batch.schema.names, batch.columns))
+        own[batch.schema.names[text_at]] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays([*(own[c] for c in names), pa.array(total, pa.int32()), pa.array(removed, pa.int32())], [*names, "n_lines", "lines_removed"])
 
     return run
 
 
+def _row_key(key: Column) -> list[Column]:
+    """Two columns that are equal for equal keys, null ones included."""
+    return [F.coalesce(key, F.lit(0)).alias("__id"), key.isNull().alias("__null")]
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies of repeated line runs cut out of ``text_col``, and n_lines, lines_removed (int).
 
@@ -161,12 +164,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     other columns stay.
     """
     runs = repeated_runs(docs, min_words, id_col, text_col)
-    runs = runs.groupBy(F.col("id").alias("__rid"), F.col("h").alias("__rh")).agg(F.collect_list(F.struct("start", "length")).alias("__runs"))
+    runs = runs.groupBy(*_row_key(F.col("id")), F.col("h").alias("__h")).agg(F.collect_list(F.struct("start", "length")).alias("__runs"))
     kept = docs.drop("n_lines", "lines_removed")
     schema = kept.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).withColumns({"n_lines": F.lit(0), "lines_removed": F.lit(0)}).schema
-    rows = kept.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__h": F.xxhash64(F.col(f"`{text_col}`"))})
-    rows = rows.join(runs, rows["__id"].eqNullSafe(F.col("__rid")) & (rows["__h"] == F.col("__rh")), "left")
-    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(0))))
+    rows = kept.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).select("*", *_row_key(F.col(f"`{id_col}`").cast("long")), F.xxhash64(F.col(f"`{text_col}`")).alias("__h"))
+    rows = rows.join(runs, ["__id", "__null", "__h"], "left").select(*kept.columns, "__id", "__null", "__h", "__runs")
+    # one exchange of the texts serves the join and the numbering of copies
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__null", "__h").orderBy(F.lit(0))))
     rows = rows.withColumn("__long", F.when(F.col("__copy") > 1, F.regexp_count(F.col(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]+")) >= min_words).otherwise(F.lit(False)))
-    rows = rows.drop("__rid", "__rh", "__id", "__h")
+    rows = rows.drop("__id", "__null", "__h")
     return rows.mapInArrow(_cut(rows.columns.index(text_col), kept.columns), schema)
