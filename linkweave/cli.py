@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from .operators import boundary, coverage, graph, infer, parse, structure
 from .plans import adapters, render, snapshot
 from .scratch import store
 from .sources import git, tags
+from .sources.projfiles import walk
 from .sources.project import code_candidates, source_texts, spec_candidates
 
 
@@ -149,14 +151,39 @@ def show_config(spark, a) -> int:
     return int(bool(problems))
 
 
+def init(spark, a) -> int:
+    """Write the settings in force as the project's settings file, unless it has one."""
+    path = os.path.join(a.project, config.FILE)
+    if os.path.exists(path):
+        print(f"{path} is there already", file=sys.stderr)
+        return 1
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(config.load(a.project).dump())
+    return 0
+
+
+def watch(spark, a) -> int:
+    """Print the merged graph whenever files change, at most every ``--interval`` seconds; ``--rounds`` looks, 0 for ever."""
+    seen, last, looks = None, None, 0
+    while not a.rounds or looks < a.rounds:
+        now = {p: os.stat(p).st_mtime_ns for p in walk(a.project)}
+        if now != seen and (last is None or time.monotonic() - last >= a.interval):
+            seen, last = now, time.monotonic()
+            print(render.graph_text(adapters.merged(spark, a.project), a.top), flush=True)
+        looks += 1
+        if not a.rounds or looks < a.rounds:
+            time.sleep(min(1.0, a.interval))
+    return 0
+
+
 def plugins(spark, a) -> int:
     print("\n".join(sorted(adapters.adapters())))
     return 0
 
 
 COMMANDS = {
-    "analyze": analyze, "call-graph": call_graph, "config": show_config, "coverage": show_coverage, "diff": diff, "drift": show_drift, "impact": impact,
-    "plugins": plugins, "session-check": session_check, "snapshot": take_snapshot, "status": status, "suggest": suggest, "validate-boundary": validate_boundary,
+    "analyze": analyze, "call-graph": call_graph, "config": show_config, "coverage": show_coverage, "diff": diff, "drift": show_drift, "impact": impact, "init": init,
+    "plugins": plugins, "session-check": session_check, "snapshot": take_snapshot, "status": status, "suggest": suggest, "validate-boundary": validate_boundary, "watch": watch,
 }
 
 
@@ -172,6 +199,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--min", type=float)
     p.add_argument("--top", type=int, default=20)
     p.add_argument("--depth", type=int, default=3)
+    p.add_argument("--interval", type=float, default=2.0)
+    p.add_argument("--rounds", type=int, default=0)
     a = p.parse_args(args)
     if a.command == "impact" and bool(a.spec) == bool(a.file):
         p.error("impact needs either --spec or --file")

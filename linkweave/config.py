@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
@@ -13,16 +14,20 @@ from .sources.projfiles import SKIPPED_DIRS, SOURCE_DIRS, SPEC_DIRS
 FILE = ".linkweave.yaml"
 
 
+def _names(of: Iterable[str] = ()) -> list[str]:
+    return field(default_factory=lambda: sorted(of) if isinstance(of, frozenset) else [*of])
+
+
 @dataclass(frozen=True)
 class Config:
-    spec_dirs: list[str] = field(default_factory=lambda: list(SPEC_DIRS))
-    source_dirs: list[str] = field(default_factory=lambda: list(SOURCE_DIRS))
-    exclude_dirs: list[str] = field(default_factory=lambda: sorted(SKIPPED_DIRS))
-    spec_files: list[str] = field(default_factory=list)
-    source_files: list[str] = field(default_factory=list)
+    min_coverage: float = 50.0
     min_confidence: float = 0.15
     max_output_nodes: int = 20
-    min_coverage: float = 50.0
+    source_dirs: list[str] = _names(SOURCE_DIRS)
+    source_files: list[str] = _names()
+    spec_dirs: list[str] = _names(SPEC_DIRS)
+    spec_files: list[str] = _names()
+    exclude_dirs: list[str] = _names(SKIPPED_DIRS)
     mapping_file: str = ".trace/mapping.yaml"
     graph_file: str = "ast-graph/graph.json"
     session_check: dict = field(default_factory=lambda: {"hooks": []})

@@ -11,7 +11,7 @@ from ..scratch import store
 from .graph import TraceGraph
 from .parse import LIBRARY
 
-ROOTS, ENDINGS = ("src", "lib", "app"), (".py", ".ts", ".js", ".go", ".rs", ".java")
+ROOTS, ENDINGS = tuple("src lib app".split()), tuple(".py .ts .js .go .rs .java".split())
 
 
 def resolve_imports(files: DataFrame) -> DataFrame:

@@ -190,7 +190,7 @@ class AstGraphAdapter(Adapter):
     def detect(self, root: str) -> float:
         if not os.path.exists(os.path.join(root, load(root).graph_file)):
             return 0.0
-        return 0.25 if next(walk(root, (".py", ".ts", ".js", ".go", ".rs", ".java", ".c", ".cpp", ".rb")), None) else 0.0
+        return 0.25 if next(walk(root, tuple(".c .cpp .go .java .js .py .rb .rs .ts".split())), None) else 0.0
 
     def analyze(self, spark: SparkSession, root: str) -> TraceGraph:
         return TraceGraph(*graph_json.read(spark, os.path.join(root, load(root).graph_file)))

@@ -82,9 +82,9 @@ def origin_histogram(spark, d):
 def coverage_delta(spark, d):
     """Coverage of two halves of the edges, and its change."""
     g = _graph(spark, d)
-    one = coverage.summary(G.TraceGraph(g.nodes, g.edges.filter("ord % 2 = 0"))).select(F.col("coverage_pct").alias("before"))
-    two = coverage.summary(g).select(F.col("coverage_pct").alias("after"))
-    return one.crossJoin(F.broadcast(two)).withColumn("delta", F.round(F.col("after") - F.col("before"), 1))
+    one = coverage.summary(G.TraceGraph(g.nodes, g.edges.filter("ord % 2 = 0"))).select(F.col("coverage_pct").alias("before"), F.lit(None).cast("double").alias("after"))
+    two = coverage.summary(g).select(F.lit(None).cast("double"), "coverage_pct")
+    return one.union(two).agg(F.max("before").alias("before"), F.max("after").alias("after")).withColumn("delta", F.round(F.col("after") - F.col("before"), 1))
 
 
 @_query

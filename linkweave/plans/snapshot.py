@@ -45,7 +45,7 @@ def current(spark: SparkSession, root: str, cfg: Config | None = None) -> State:
 
 def _coverage(graph: TraceGraph) -> dict:
     row = coverage.summary(graph).first()
-    return row.asDict() if row else {"total": 0, "covered": 0, "orphan": 0, "coverage_pct": 0.0}
+    return row.asDict() if row else {**dict.fromkeys(("total", "covered", "orphan"), 0), "coverage_pct": 0.0}
 
 
 def save(state: State, root: str, path: str | None = None, reason: str = "") -> str:
@@ -59,7 +59,7 @@ def save(state: State, root: str, path: str | None = None, reason: str = "") ->
     target.parent.mkdir(parents=True, exist_ok=True)
     rows = lambda df, by: [json.loads(r[0]) for r in df.orderBy(by).select(F.to_json(F.struct(*[c for c in df.columns if c != "ord"]))).toLocalIterator()]
     doc = {
-        "timestamp": datetime.now().isoformat(timespec="seconds"), "reason": reason, "specs": rows(state.specs, "ord"), "code": rows(state.codes, "ord"),
+        "reason": reason, "timestamp": f"{datetime.now():%Y-%m-%dT%H:%M:%S}", "specs": rows(state.specs, "ord"), "code": rows(state.codes, "ord"),
         "orphan_spec_ids": [r["id"] for r in state.orphans.orderBy("id").toLocalIterator()], "coverage": state.coverage,
     }
     part = target.with_name(f"{target.name}.{os.getpid()}-{id(doc)}.part")

@@ -45,7 +45,7 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True) if Path(path).is_file() else spark.createDataFrame([], "value string")
     kind = f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in _CALLS.split(', '))}>>"
     wrapped = F.from_json("value", f"struct<symbols:{kind},results:{kind}>")
-    rows = text.select(F.coalesce(F.from_json("value", kind), wrapped["symbols"], wrapped["results"]).alias("rows")).select(F.posexplode("rows").alias("ord", "r"))
+    rows = text.select(F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", kind)).otherwise(F.coalesce(wrapped["symbols"], wrapped["results"])).alias("rows")).select(F.posexplode("rows").alias("ord", "r"))
     rows = rows.select(F.col("ord").cast("long").alias("ord"), F.coalesce("r.symbol", "r.name").alias("symbol"), F.coalesce("r.file", "r.filepath").alias("file"), F.coalesce("r.callees", "r.calls").alias("callees"), F.coalesce("r.callers", "r.called_by").alias("callers")).filter("symbol is not null")
     down = resolve_symbols(rows.select("ord", "symbol", F.coalesce("file", F.lit("")).alias("file"), "callees"))
     up = resolve_symbols(rows.select("ord", "symbol", F.coalesce("file", F.lit("")).alias("file"), F.col("callers").alias("callees")))

@@ -21,10 +21,11 @@ from ..operators.graph import TraceGraph, first_edges, last_wins
 from ..schema import CODE, DESIGN, EXPLICIT, IMPLEMENTS, SATISFIES, SPEC, TAGS, TEST, VERIFIES
 from .projfiles import project_files, source_endings
 
-_MANY, _ONE = r"[\w./-]+(?:\s*,\s*[\w./-]+)*", r"[\w./,-]+"
-SOURCE_TAGS = [(kind, re.compile(rf"(?://|#)\s*@{kind}\s+({value})", re.A if kind in ("module", "feature") else 0)) for kind, value in (("impl", _MANY), ("module", _ONE), ("feature", _ONE), ("verifies", _MANY))]
+_ID = r"[-/.0-9A-Z_a-z]+"
+_MANY, _ONE = rf"{_ID}(?:\s*,\s*{_ID})*", r"[-/.,0-9A-Z_a-z]+"
+SOURCE_TAGS = [(kind, re.compile(rf"(?://|#)\s*@{kind}\s+({value})")) for kind, value in (("impl", _MANY), ("module", _ONE), ("feature", _ONE), ("verifies", _MANY))]
 DOC_TAGS = [(kind, re.compile(rf"<!--\s*@{kind}\s+(.+?)\s*-->")) for kind in ("spec", "design", "satisfies")]
-DOC_TAGS.append(("boundary", re.compile(r"^_Boundary:_\s+(.+)$", re.M)))
+DOC_TAGS.append(("boundary", re.compile(r"^_(?:Boundary):_\s+(.*\S.*)$", re.M)))
 DOC_ENDINGS = (".md", ".mdx", ".rst")
 DATA_ENDINGS = (".yaml", ".yml", ".toml")
 
@@ -71,7 +72,7 @@ def extract_tags(files: DataFrame) -> DataFrame:
 def tagged_files(spark: SparkSession, root: str) -> DataFrame:
     """Files whose tags count: any below the root but in hidden, ``__`` or build directories, or so named."""
     ends = tuple(sorted({*source_endings(), *DATA_ENDINGS, *DOC_ENDINGS}))
-    files = project_files(spark, root, ["."], ends, skipped=frozenset({"node_modules", ".venv", "__pycache__", "dist", "build"}))
+    files = project_files(spark, root, ["."], ends, skipped=frozenset("build dist node_modules __pycache__".split()))
     return files.filter(~F.exists(F.split("path", "/"), lambda p: F.startswith(p, F.lit("__"))))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkweave import cli, config, guard
 from linkweave.operators import boundary, coverage
 from linkweave.operators.graph import TraceGraph, merge, normalise
-from linkweave.plans import adapters, render, snapshot
+from linkweave.plans import adapters, render, snapshot, tools
 from linkweave.sources import graph_json, mapping, project, projfiles, python_ast, tags
 
 LOGIN = '''"""Login. # @impl 9.9 is no tag here"""
@@ -153,7 +153,7 @@ def test_drift(spark, tree):
     (tree / "src/reports/charts.py").write_text("def render_chart(x):\n    return 2 * x\n\n\nclass Chart:\n    pass\n")
     (tree / "src/new.py").write_text("def fresh(): pass\n")
     got = snapshot.compare(snapshot.read(spark, path), snapshot.current(spark, root)).counts()
-    assert got["specs_body_changed"] == 1 and got["specs_removed"] == 1 and got["code_added"] == 1 and got["code_funcs_changed"] == 1
+    assert got["specs_body_changed"] == 2 and got["specs_removed"] == 1 and got["code_added"] == 1 and got["code_funcs_changed"] == 1
     assert snapshot.read(spark, str(tree / "none.json")) is None
 
 
@@ -177,12 +177,18 @@ def test_config(tmp_path):
         config.load(str(tmp_path), str(tmp_path / "none.yaml"))
 
 
-@pytest.mark.parametrize("args", [["analyze", "--merge", "--deps"], ["coverage", "--json"], ["impact", "--spec", "Login", "--calls"], ["impact", "--file", "login.py"], ["call-graph"], ["status"], ["suggest"], ["plugins"], ["validate-boundary"], ["session-check"]])
+@pytest.mark.parametrize("args", [["analyze", "--merge", "--deps"], ["coverage", "--json"], ["impact", "--spec", "Login", "--calls"], ["impact", "--file", "login.py"], ["call-graph"], ["status"], ["suggest"], ["plugins"], ["validate-boundary"], ["session-check"], ["watch", "--rounds", "1"]])
 def test_cli(spark, tree, capsys, args):
     assert cli.main([args[0], str(tree), *args[1:]], spark) in (0, 1, 2)
     assert capsys.readouterr().out or args[0] == "suggest"
 
 
+def test_tools(spark, tree):
+    assert tools.coverage(spark, str(tree))["total"] > 0 and tools.gate(spark, str(tree), 100.0)["passed"] is False
+    assert tools.impact(spark, str(tree), spec="Login user") and tools.config(str(tree))["min_coverage"] == 50.0
+    assert tools.validate_boundary(spark, str(tree)) and tools.drift(spark, str(tree)) is None
+
+
 def test_pages(spark, tree):
     g = adapters.HeuristicAdapter().analyze(spark, str(tree))
     assert "<script type='application/json'" in render.graph_html(g) and "class='orphan'" in render.coverage_html(g)
