@@ -101,12 +101,12 @@ def solve(x: np.ndarray, languages: np.ndarray) -> Model:
 
     def ridge(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1.0 / share[y[rows]]) ** 0.5
-        w /= w.mean()
-        a, t = x[rows].astype(np.float64) * w[:, None], targets[rows] * w[:, None]
-        a1 = np.hstack([a, w[:, None]])
-        alpha = np.linalg.solve(a1 @ a1.T + 0.01 * np.eye(len(a1)), t)
-        full = a1.T @ alpha
-        return full[:-1].astype(np.float32), full[-1].astype(np.float32)
+        w = (w / w.mean()).astype(np.float32)[:, None]
+        a = x[rows] * w
+        kernel = (a @ a.T).astype(np.float64) + w @ w.T
+        kernel[np.diag_indices(len(a))] += 0.01
+        alpha = np.linalg.solve(kernel, targets[rows] * w).astype(np.float32)
+        return a.T @ alpha, (w.T @ alpha)[0]
 
     fitted = ~aside if (~aside).any() else aside
     part = Model(names, code, *ridge(np.flatnonzero(fitted)), np.full(code.shape[1], 1.0 / code.shape[1]))
