@@ -62,7 +62,7 @@ def spec_aliases(nodes: DataFrame) -> DataFrame:
     The loose match compares distinct numbers.
     """
     specs = nodes.filter(F.col("type") == SPEC).select("id", "ord")
-    tagged = specs.filter(F.startswith("id", F.lit("spec::"))).select(F.col("id").alias("alias_id"), F.substring("id", 7, 1 << 30).alias("num"))
+    tagged = specs.filter(F.startswith("id", F.lit("spec::"))).select(F.col("id").alias("alias_id"), F.substring("id", 7, 1 << 30).alias("num")).distinct()
     numbered = specs.filter(~F.startswith("id", F.lit("spec::"))).withColumn("hnum", F.regexp_extract("id", r"\.(\d[\d.]*)$", 1)).filter("hnum <> ''")
     first = numbered.groupBy("hnum").agg(F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord"))
     exact = tagged.join(first, F.col("num") == F.col("hnum")).select("alias_id", "id")

@@ -111,8 +111,8 @@ def _blocks(source: str, out: str) -> str:
 _SYM = f"list_sort(list_distinct(regexp_extract_all(text, '(?m){DEF}', 1)))"
 _IMP = "list_transform(regexp_extract_all(text, '(?m)^(?:import\\s+[\\w.]+|from\\s+[\\w.]+\\s+import)'), lambda m: regexp_extract(m, '^(?:import|from)\\s+([\\w.]+)', 1))[1:8]"
 _CALLS = f"list_filter(list_distinct(regexp_extract_all(text, '(?:^|[\\s.,;:!?&|~={{(])([A-Za-z_]\\w*)\\s*\\(', 1)), lambda x: not list_contains({_list(KEYWORDS)}, x) and not (len(x) > 1 and regexp_matches(x, '^[A-Z]')))"
-_VERSIONS = with_views("sources") + f""", olds as (select path, ord, text from sources where ord % 17 <> 0),
-news as (select path, ord, case when ord % 11 = 0 then text || chr(10) || 'def added(q): return q' when ord % 13 = 0 then replace(text, 'len(x)', 'sum(x)') else text end as text from sources where ord % 19 <> 0),
+_VERSIONS = with_views("sources") + f""", olds as (select path, ord, text from sources),
+news as (select case when ord % 17 = 0 then 'src/moved/' || ord || '.py' else path end as path, ord, case when ord % 11 = 0 then text || chr(10) || 'def added(q): return q' when ord % 13 = 0 then replace(text, 'len(x)', 'sum(x)') else text end as text from sources),
 o as (select path, {_SYM} as sy, {_hash("text")} as h from olds), w as (select path, {_SYM} as sy, {_hash("text")} as h from news),
 cc as (select coalesce(o.path, w.path) as file, case when w.path is null then 'removed' when o.path is null then 'added' when o.sy <> w.sy or o.h <> w.h then 'symbols_changed' end as change,
   case when o.path is not null and w.path is not null then array_to_string(list_sort(list_filter(w.sy, lambda x: not list_contains(o.sy, x))), ',') else '' end as added,
@@ -159,11 +159,11 @@ SQL: dict[str, str] = {
     "spec_status_tristate": _COVERED + "select id, case when verified > 0 then 'covered' when refs > 0 then 'partial' else 'orphan' end as status from s",
     "node_type_counts": with_views("nodes") + "select type, count(*) as n from nodes group by type",
     "origin_histogram": with_views("nodes", "edges") + f"select framework_origin, count(*) as n_nodes, count(*) filter (type = 'spec') as n_specs, count(*) filter (type = 'spec' and id not in (select dst_id from edges where {COVER})) as n_orphans from nodes group by framework_origin",
-    "coverage_delta": with_views("nodes", "edges") + f""", x as (select id, exists(select 1 from edges where dst_id = id and {COVER} and ord % 2 = 0) as a, exists(select 1 from edges where dst_id = id and {COVER}) as b from nodes where type = 'spec'),
+    "coverage_delta": with_views("nodes", "edges") + f""", x as (select id, exists(select 1 from edges where dst_id = id and {COVER} and strength = 'explicit') as a, exists(select 1 from edges where dst_id = id and {COVER}) as b from nodes where type = 'spec'),
 y as (select round(100.0::double * count(*) filter (a) / count(*), 1) as before, round(100.0::double * count(*) filter (b) / count(*), 1) as after from x) select before, after, round(after - before, 1) as delta from y""",
     "edge_dedup_first": with_views("edges_raw") + "select src_id, dst_id, relation, strength, ord from (select *, row_number() over (partition by src_id, dst_id, relation order by ord) as n from edges_raw) where n = 1",
     "node_last_wins": with_views("nodes_twice") + "select id, title, confidence, first as ord from (select *, row_number() over (partition by id order by ord desc) as n, min(ord) over (partition by id) as first from nodes_twice) where n = 1",
-    "merge_union": with_views("nodes", "edges", "nodes_twice") + """, m as (select id, title, confidence, 0 as g, ord from nodes union all select id, title, confidence, 1, ord from nodes_twice where ord >= 5000000000),
+    "merge_union": with_views("nodes", "edges", "nodes_again") + """, m as (select id, title, confidence, 0 as g, ord from nodes union all select id, title, confidence, 1, ord from nodes_again),
 l as (select id, title, confidence from (select *, row_number() over (partition by id order by g desc, ord desc) as n from m) where n = 1), e as (select * from edges union all select * from edges where relation = 'verifies')
 select id, title, confidence, 1::bigint as n_nodes, null::bigint as n_edges from l union all select src_id, null, null, null, count(*) from e group by src_id""",
     "id_normalize": ALIASES + "select * from al",
@@ -176,14 +176,14 @@ hit as (select query, id, case when id = query then 1 when id = 'spec::' || quer
 select query, id, tier::bigint as tier from hit h where tier = (select min(tier) from hit i where i.query = h.query)""",
     "forward_impact": with_views("nodes", "edges") + "select s.id as spec_id, e.src_id, n.file, e.relation, e.strength from nodes s join edges e on e.dst_id = s.id left join nodes n on n.id = e.src_id where s.type = 'spec' and contains(s.title, '00001')",
     "reverse_impact": with_views("nodes", "edges") + f"select e.dst_id as spec_id, t.title, count(*) as n_edges, array_to_string(list_sort(list_distinct(list(n.file))), ',') as files from edges e join nodes n on n.id = e.src_id left join nodes t on t.id = e.dst_id where {COVER} and n.type not in ('spec', 'task') and contains(n.file, 'ring_') group by e.dst_id, t.title",
-    "git_drift": with_views("nodes", "edges") + f"select n.file, e.dst_id as spec_id, e.relation from nodes n join edges e on e.src_id = n.id where n.type in ('code', 'test') and {COVER} and n.file in (select file from nodes where ord % 7 = 3 and type <> 'spec')",
+    "git_drift": with_views("nodes", "edges") + f"select n.file, e.dst_id as spec_id, e.relation from nodes n join edges e on e.src_id = n.id where n.type in ('code', 'test') and {COVER} and n.file in (select file from nodes where contains(file, 'promo'))",
     "drawing_rows": with_views("nodes") + "select id, type, case when length(l) > 60 then substring(l, 1, 57) || '...' else l end as label from (select id, type, title || ' in ' || file || ' and more of it' as l from nodes)",
-    "boundary_violations": with_views("nodes", "edges") + """, b as (select id, ord from nodes where type = 'spec' and ord % 2 = 0)
+    "boundary_violations": with_views("nodes", "edges") + """, b as (select id, segment from nodes where segment in ('BUILDING', 'MACHINERY'))
 select b.id as spec_id, e.src_id, n.file as code_file from b join edges e on e.dst_id = b.id and e.relation in ('implements', 'verifies') join nodes n on n.id = e.src_id
-where case when b.ord % 4 = 0 then not (n.file glob 'src/promo/*' or regexp_matches(n.file, '^src/[sm].*$')) else not starts_with(n.file, 'src/large/') end""",
-    "boundary_last_spec": """with o as (select 'c' || conv_id as file, role, substring(text, 1, 12) as value, turn::integer as line from conversations)
+where case when b.segment = 'BUILDING' then not (n.file glob 'src/promo/*' or regexp_matches(n.file, '^src/[sm].*$')) else not starts_with(n.file, 'src/large/') end""",
+    "boundary_last_spec": """with o as (select 'c' || conv_id as file, role, text as value, turn::integer as line from conversations)
 select 'spec::' || l.spec as spec_id, o.value as path, o.file, o.line from o join (select file, arg_max(value, line) as spec from o where role = 'user' group by file) l on l.file = o.file where o.role <> 'user'""",
-    "boundary_preceding_spec": """with o as (select 'c' || conv_id as file, role, substring(text, 1, 12) as value, turn::integer as line from conversations)
+    "boundary_preceding_spec": """with o as (select 'c' || conv_id as file, role, text as value, turn::integer as line from conversations)
 select 'spec::' || (select arg_max(p.value, p.line) from o p where p.file = o.file and p.role = 'user' and p.line < o.line) as spec_id, value as path, file, line from o where role <> 'user' and exists(select 1 from o p where p.file = o.file and p.role = 'user' and p.line < o.line)""",
     "tokenizer": f"select doc_id, len(t)::bigint as n, array_to_string(list_sort(t)[1:8], ' ') as first from (select doc_id, {_tokens('text')} as t from documents)",
     "token_index_candidates": _SIM + "select spec_id, code_id, n_symbol, n_stem from sc where n_symbol > 0 or n_stem > 0",
@@ -192,7 +192,7 @@ select 'spec::' || (select arg_max(p.value, p.line) from o p where p.file = o.fi
     "partial_dir_candidates": _SIM + "select spec_id, code_id from sc where s_dir = 0.6",
     "edge_score": _SIM + "select spec_id, code_id, s_dir, s_file, confidence from cand",
     "edge_strength": _SIM + "select case when is_test then 'verifies' else 'implements' end as relation, case when confidence < 0.4 then 'weak' else 'inferred' end as strength, count(*) as n, min(confidence) as low, max(confidence) as high from cand where confidence >= 0.15 group by 1, 2",
-    "func_score": with_views("specs", "codes") + f""", s as (select spec_id, {_tokens("text")} as a from specs), f as (select code_id as func_id, {_tokens("substring(text, 1, 80)")} as b from codes),
+    "func_score": with_views("specs", "codes") + f""", s as (select spec_id, {_tokens("text")} as a from specs), f as (select code_id as func_id, {_tokens(_preview("text"))} as b from codes),
 p as (select spec_id, func_id, len(list_intersect(a, b)) as n, len(a) as x, len(b) as y from s, f)
 select spec_id, func_id, confidence from (select *, {_round("least(case when n = x or n = y then greatest(3.0::double * (n::double / (x + y - n)), 0.9::double) else 3.0::double * (n::double / (x + y - n)) end, 1.0::double)", 4)} as confidence from p where n > 0) where confidence >= 0.15""",
     "suggest_topk": _SIM + f"select spec_id, code_id, {_round('confidence', 3)} as score, rank from (select *, row_number() over (partition by spec_id order by confidence desc, code_id) as rank from sc where confidence >= 0.1) where rank <= 3",
@@ -205,7 +205,7 @@ select spec_id, func_id, confidence from (select *, {_round("least(case when n =
     "func_drift_by_line": _VERSIONS + f"select o.path as file, o.name, o.line, {_hash('o.body')} as old_hash, {_hash('n.body')} as new_hash from ob o join nb n on o.path = n.path and o.name = n.name and o.line = n.line where o.body <> n.body",
     "func_drift_by_name": _VERSIONS + f"select file, name, {_hash('a')} as old_hash, {_hash('b')} as new_hash from (select path as file, name, arg_max(body, line) as a from ob group by path, name) x join (select path as file, name, arg_max(body, line) as b from nb group by path, name) y using (file, name) where a <> b",
     "snapshot_diff_counts": _VERSIONS + ", before as (" + with_views("before", "after").split("before as (", 1)[1].rstrip() + ", " + _CHANGES + " select change as category, count(*) as n from (select change from ch union all select change from cc) where change is not null group by change",
-    "orphan_transitions": with_views("nodes", "edges") + f""", x as (select id, exists(select 1 from edges where dst_id = id and {COVER} and ord % 2 = 0) as was, exists(select 1 from edges where dst_id = id and {COVER} and ord % 3 <> 0) as now from nodes where type = 'spec' and ord % 3 <> 0 and ord % 5 <> 0)
+    "orphan_transitions": with_views("nodes", "edges") + f""", x as (select id, exists(select 1 from edges where dst_id = id and {COVER} and strength = 'explicit') as was, exists(select 1 from edges where dst_id = id and {COVER} and strength = 'inferred') as now from nodes where type = 'spec')
 select id, case when was then 'new_orphan' else 'resolved' end as change from x where was <> now""",
     "section_split": _SECTIONS + "select path, line, depth, heading, body from sections",
     "spec_candidates": _SECTIONS + f""", numd as ({_window_counters("sections")}) select path as file, line, 'docs.' || regexp_replace(regexp_replace(path, '^docs/', ''), '\\.md$', '') || '.' || number as auto_id, {_CLEAN} as title, depth as heading_depth, chain,
@@ -227,7 +227,7 @@ select path, kind, (unnest(range(len(v))))::bigint as n, trim(unnest(v)) as valu
   union all select y.id, y.title, w.depth + 1, case when w.chain = '' then w.title else w.chain || ' > ' || w.title end from yaml_items y join walk w on y.parent = w.id)
 select id, depth::bigint as depth, chain from walk union all select id, 1, parent from yaml_items where id not in (select id from walk)""",
     "import_resolution": _IMPORTS + "select * from res",
-    "import_edges": _IMPORTS + "select distinct file as src_id, target as dst_id, 'depends' as relation, 'inferred' as strength from res where file in (select path from sources where ord % 2 = 1)",
+    "import_edges": _IMPORTS + "select distinct file as src_id, target as dst_id, 'depends' as relation, 'inferred' as strength from res where not contains(file, 'promo')",
     "callee_resolution": _CALLED + "select * from res",
     "call_edges": _CALLED + "select distinct fb.path || '::' || fb.name as caller, callee from fb join res on res.file = fb.path",
     "callees_callers": with_views("calls") + "select key, sum(d)::bigint as n_callees, sum(u)::bigint as n_callers from (select caller as key, 1 as d, 0 as u from calls union all select callee, 0, 1 from calls) group by key",

@@ -26,6 +26,11 @@ def _graph(spark: SparkSession, d: str) -> G.TraceGraph:
     return G.TraceGraph(view(spark, d, "nodes"), view(spark, d, "edges"))
 
 
+def _sure(g: G.TraceGraph, strength: str = "explicit") -> G.TraceGraph:
+    """The graph with only edges of one strength left to cover anything."""
+    return G.TraceGraph(g.nodes, g.edges.withColumn("relation", F.when(F.col("strength") == strength, F.col("relation")).otherwise("references")))
+
+
 def _long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
@@ -82,7 +87,7 @@ def origin_histogram(spark, d):
 def coverage_delta(spark, d):
     """Coverage of two halves of the edges, and its change."""
     g = _graph(spark, d)
-    one = coverage.summary(G.TraceGraph(g.nodes, g.edges.filter("ord % 2 = 0"))).select(F.col("coverage_pct").alias("before"), F.lit(None).cast("double").alias("after"))
+    one = coverage.summary(_sure(g)).select(F.col("coverage_pct").alias("before"), F.lit(None).cast("double").alias("after"))
     two = coverage.summary(g).select(F.lit(None).cast("double"), "coverage_pct")
     return one.union(two).agg(F.max("before").alias("before"), F.max("after").alias("after")).withColumn("delta", F.round(F.col("after") - F.col("before"), 1))
 
@@ -99,7 +104,7 @@ def node_last_wins(spark, d):
 
 @_query
 def merge_union(spark, d):
-    g, more = _graph(spark, d), view(spark, d, "nodes_twice").filter("ord >= 5000000000")
+    g, more = _graph(spark, d), view(spark, d, "nodes_again")
     a = G.TraceGraph(g.nodes.select("id", "title", "confidence", "ord"), g.edges)
     merged = G.merge(a, G.TraceGraph(more, g.edges.filter("relation = 'verifies'")))
     n = merged.nodes.groupBy("id", "title", "confidence").agg(F.count("*").alias("n_nodes")).withColumn("n_edges", F.lit(None).cast("long"))
@@ -149,7 +154,7 @@ def reverse_impact(spark, d):
 @_query
 def git_drift(spark, d):
     g = _graph(spark, d)
-    changed = g.nodes.filter("ord % 7 = 3 and type <> 'spec'").select("file")
+    changed = g.nodes.filter("contains(file, 'promo')").select("file")
     return G.git_drift(g, changed)
 
 
@@ -162,7 +167,7 @@ def drawing_rows(spark, d):
 def boundary_violations(spark, d):
     g = _graph(spark, d)
     paths = F.array(F.lit("src/promo/*"), F.lit("src/[sm]*"))
-    rules = g.nodes.filter("type = 'spec' and ord % 2 = 0").select(F.col("id").alias("spec_id"), F.explode(F.when(F.col("ord") % 4 == 0, paths).otherwise(F.array(F.lit("src/large/")))).alias("path"))
+    rules = g.nodes.filter("segment in ('BUILDING', 'MACHINERY')").select(F.col("id").alias("spec_id"), F.explode(F.when(F.col("segment") == "BUILDING", paths).otherwise(F.array(F.lit("src/large/")))).alias("path"))
     return boundary.violations(g, rules)
 
 
@@ -178,7 +183,7 @@ def boundary_preceding_spec(spark, d):
 
 def _outline_tags(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet")
-    return rows.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file"), F.when(F.col("role") == "user", "spec").otherwise("boundary").alias("kind"), F.substring("text", 1, 12).alias("value"), F.col("turn").cast("int").alias("line"), F.col("turn").cast("int").alias("ord"))
+    return rows.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file"), F.when(F.col("role") == "user", "spec").otherwise("boundary").alias("kind"), F.col("text").alias("value"), F.col("turn").cast("int").alias("line"), F.col("turn").cast("int").alias("ord"))
 
 
 # ── similarity join ──
@@ -232,7 +237,7 @@ def edge_strength(spark, d):
 @_query
 def func_score(spark, d):
     s, c = _similar(spark, d)
-    f = c.select(F.col("code_id").alias("func_id"), X.tokens(F.substring("text", 1, 80)).alias("tokens"))
+    f = c.select(F.col("code_id").alias("func_id"), X.tokens(X.preview(F.col("text"))).alias("tokens"))  # functions match by name and preview
     return infer.function_scores(s, f).filter(F.col("confidence") >= infer.LEAST_CONFIDENCE)
 
 
@@ -274,10 +279,11 @@ def drift_body_changed(spark, d):
 
 
 def _versions(spark, d):
-    """Virtual sources and a later version: some files gone, some new, some edited."""
+    """Virtual sources and a later version: some files moved, some edited."""
     old = view(spark, d, "sources")
     text = F.when(F.col("ord") % 11 == 0, F.concat("text", F.lit("\ndef added(q): return q"))).when(F.col("ord") % 13 == 0, F.replace("text", F.lit("len(x)"), F.lit("sum(x)"))).otherwise(F.col("text"))
-    return parse.code_rows(old.filter("ord % 17 <> 0")), parse.code_rows(old.filter("ord % 19 <> 0").withColumn("text", text))
+    moved = F.when(F.col("ord") % 17 == 0, F.concat(F.lit("src/moved/"), F.col("ord").cast("string"), F.lit(".py"))).otherwise(F.col("path"))
+    return parse.code_rows(old), parse.code_rows(old.select("ord", moved.alias("path"), text.alias("text")))
 
 
 @_query
@@ -302,9 +308,7 @@ def snapshot_diff_counts(spark, d):
 
 @_query
 def orphan_transitions(spark, d):
-    nodes = view(spark, d, "nodes")
-    e = view(spark, d, "edges")
-    a, b = G.TraceGraph(nodes.filter("ord % 3 <> 0"), e.filter("ord % 2 = 0")), G.TraceGraph(nodes.filter("ord % 5 <> 0"), e.filter("ord % 3 <> 0"))
+    a, b = _sure(_graph(spark, d)), _sure(_graph(spark, d), "inferred")
     spec = lambda g: g.nodes.filter("type = 'spec'")
     return drift.orphan_transitions(spec(a), spec(b), coverage.orphan_specs(a), coverage.orphan_specs(b))
 
@@ -404,7 +408,7 @@ def import_resolution(spark, d):
 @_query
 def import_edges(spark, d):
     f = _sources(spark, d)
-    old = structure.resolve_imports(f).join(f.filter("ord % 2 = 0").select("file"), "file", "left_semi").select(F.col("file").alias("src_id"), F.col("target").alias("dst_id"), F.lit("depends").alias("relation"))
+    old = structure.resolve_imports(f).filter("contains(file, 'promo')").select(F.col("file").alias("src_id"), F.col("target").alias("dst_id"), F.lit("depends").alias("relation"))
     return structure.import_edges(f, old)
 
 
