@@ -87,7 +87,7 @@ def _later_copies(units: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """Stored (id, h, start, length): line runs to delete, which may overlap; h hashes the text."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text is not null")
-    lines = store(base.mapInArrow(_scan(min_words), "id long, h long, pos int, l1 long, l2 long, fwd int, bwd int"))
+    lines = store(base.mapInArrow(B.lean(_scan(min_words)), "id long, h long, pos int, l1 long, l2 long, fwd int, bwd int"))
     names = _ranked(lines, "l1", "l2")
     level = store(lines.join(names, ["l1", "l2"]).select(*KEY, "r", "fwd", "bwd"))
     drop(names)
@@ -173,4 +173,4 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__null", "__h").orderBy(F.lit(0))))
     rows = rows.withColumn("__long", F.when(F.col("__copy") > 1, F.regexp_count(F.col(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]+")) >= min_words).otherwise(F.lit(False)))
     rows = rows.drop("__id", "__null", "__h")
-    return rows.mapInArrow(_cut(rows.columns.index(text_col), kept.columns), schema)
+    return rows.mapInArrow(B.lean(_cut(rows.columns.index(text_col), kept.columns)), schema)

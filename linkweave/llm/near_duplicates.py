@@ -29,8 +29,9 @@ from .components import components
 U = np.uint64
 #: Costs for choosing a prefix, see ``choose_match``.
 PRIOR, POSTING, SHIP = 0.05, 10.0, 3.0
-#: Postings a token partition holds on average, and tokens a verification block holds.
-PART_POSTINGS, BLOCK_TOKENS = 2_000_000, 100_000
+#: Postings a token partition holds on average, tokens a verification block holds, postings a task
+#: collects before it sends them, classes a list of one token has undivided.
+PART_POSTINGS, BLOCK_TOKENS, FLUSH, RUN = 1_000_000, 100_000, 300_000, 512
 #: A bitmap of candidate documents is broadcast up to this many bits (16 MB); beyond, a join selects them.
 BITMAP_BITS = 1 << 27
 
@@ -135,8 +136,9 @@ def choose_match(kind: np.ndarray, start: np.ndarray, n: np.ndarray, need: np.nd
 
 def _postings(size: int, percent: int, bits: int, order: np.ndarray, excess: np.ndarray, parts: int):
     def flush(pile: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        token, row, cls, n, ell = (np.concatenate([x[k] for x in pile]) if k != 1 else None for k in range(5))
-        row = np.concatenate([x[1] + sum(len(y[2]) for y in pile[:i]) for i, x in enumerate(pile)])
+        token, cls, n, ell = (np.concatenate([x[k] for x in pile]) for k in (0, 2, 3, 4))
+        before = np.cumsum([0] + [len(x[2]) for x in pile])
+        row = np.concatenate([x[1] + b for x, b in zip(pile, before)])
         part = (((token >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
         by = np.argsort(part.astype(np.uint16) if parts <= 65_536 else part, kind="stable")
         token, row, part = token[by], row[by], part[by]
@@ -176,7 +178,7 @@ def _postings(size: int, percent: int, bits: int, order: np.ndarray, excess: np.
                 inside = np.arange(len(h)) - start[of] < length[of]
                 pile.append((h[inside], of[inside], cls, n, ell))
                 held += int(inside.sum())
-                if held > 1_500_000:
+                if held > FLUSH:
                     yield flush(pile)
                     pile, held = [], 0
         if pile:
@@ -185,13 +187,20 @@ def _postings(size: int, percent: int, bits: int, order: np.ndarray, excess: np.
     return run
 
 
-def _pairs(percent: int):
-    def emit(code: np.ndarray, count: np.ndarray, names: np.ndarray, n: np.ndarray, ell: np.ndarray) -> pa.RecordBatch:
-        a, b = code // len(names), code % len(names)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names[a]), pa.array(names[b]), pa.array(count.astype(np.int64)), pa.array(np.minimum(ell[a], ell[b]).astype(np.int64)), pa.array(n[a].astype(np.int64)), pa.array(n[b].astype(np.int64))],
-            ["a", "b", "shared", "least", "na", "nb"],
-        )
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The stretches of ``values`` up to each of ``ends`` as binary values."""
+    offsets = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _runs(longest: int):
+    """Lists of the classes that share a token, equal lists as one with its number of tokens.
+
+    A list goes by its smallest class, so the lists of a group of similar sets meet
+    in one place whatever partitions their tokens were in.  A list longer than
+    ``longest`` is dealt into blocks by class; pairs of blocks go their own ways, and
+    ``cut`` says where the second block begins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[] for _ in range(5)]
@@ -203,7 +212,7 @@ def _pairs(percent: int):
         token, cnt, cls, n, ell = (np.concatenate(x) for x in got)
         del got
         names, at, index = np.unique(cls, return_index=True, return_inverse=True)
-        n, ell = n[at].astype(np.int64), ell[at]
+        n, ell = n[at], ell[at]
         who = np.repeat(index.astype(np.int32), cnt)
         by = np.argsort(token)
         token, who = token[by], who[by]
@@ -215,30 +224,99 @@ def _pairs(percent: int):
         if len(token):
             keep = np.r_[True, (token[1:] != token[:-1]) | (who[1:] != who[:-1])]
             token, who = token[keep], who[keep]
-        run_of = np.cumsum(np.r_[0, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-        place = (run_of << 32) + n[who]
-        upto = np.searchsorted(place, (run_of << 32) + 100 * n[who] // percent, "right")
-        m = upto - np.arange(len(who)) - 1
-        total = np.cumsum(m)
-        codes, counts, held, i = [], [], 0, 0
-        while i < len(who):
-            base = total[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(total, base + 1_000_000, "right")))
-            mm = m[i:j]
-            left = np.repeat(np.arange(i, j), mm)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(mm) - mm, mm)
-            x, y = who[left].astype(np.int64), who[right].astype(np.int64)
-            code, count = np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y), return_counts=True)
-            codes.append(code)
-            counts.append(count)
-            held += len(code)
-            i = j
-            if held > 2_500_000 or i == len(who):
-                code, inv = np.unique(np.concatenate(codes), return_inverse=True)
-                count = np.bincount(inv, np.concatenate(counts)).astype(np.int64)
-                for lo in range(0, len(code), 200_000):
-                    yield emit(code[lo : lo + 200_000], count[lo : lo + 200_000], names, n, ell)
-                codes, counts, held = [], [], 0
+        cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]) if len(token) else np.zeros(1, np.int64)
+        size = np.diff(cut)
+        cut, size = cut[:-1][size > 1], size[size > 1]
+        if not len(cut):
+            return
+        inside = np.repeat(cut - np.cumsum(size) + size, size) + np.arange(size.sum())
+        who, first = who[inside], np.cumsum(size) - size
+        print_of = np.add.reduceat(B.mix(names[who].view(np.uint64)), first)
+        _, at, times = np.unique(print_of, return_index=True, return_counts=True)
+        first, size = first[at], size[at]
+        short = np.flatnonzero(size <= longest)
+        for lo in range(0, len(short), 20_000):
+            some = short[lo : lo + 20_000]
+            k, f = size[some], first[some]
+            flat = who[np.repeat(f - np.cumsum(k) + k, k) + np.arange(k.sum())]
+            ends = np.cumsum(k)
+            low = np.minimum.reduceat(names[flat], ends - k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(low), pa.array(times[some]), pa.array(np.zeros(len(some), np.int32)), _binary(names[flat], ends), _binary(n[flat], ends), _binary(ell[flat], ends)], _RUN_NAMES
+            )
+        for r in np.flatnonzero(size > longest):
+            own = who[first[r] : first[r] + size[r]]
+            blocks = 1 << int(np.ceil(np.log2(2 * size[r] / longest)))
+            place = (B.mix(names[own].view(np.uint64)) % U(blocks)).astype(np.int64)
+            parts, low = [own[place == i] for i in range(blocks)], int(names[own].min())
+            for i in range(blocks):
+                for j in range(i, blocks):
+                    if not len(parts[i]) or not len(parts[j]):
+                        continue
+                    mine = parts[i] if i == j else np.concatenate([parts[i], parts[j]])
+                    key = int(B.mix(np.array([low], np.int64).view(np.uint64) + U(i * blocks + j)).view(np.int64)[0])
+                    ends = np.array([len(mine)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key]), pa.array([int(times[r])]), pa.array([0 if i == j else len(parts[i])], pa.int32()), _binary(names[mine], ends), _binary(n[mine], ends), _binary(ell[mine], ends)], _RUN_NAMES
+                    )
+
+    return run
+
+
+_RUN_NAMES = ["key", "times", "cut", "cls", "n", "ell"]
+
+
+def _pairs(percent: int):
+    """Pairs of classes of compatible sizes with the number of tokens they share in the lists of a batch."""
+
+    def emit(code: np.ndarray, count: np.ndarray, names: np.ndarray, n: np.ndarray, ell: np.ndarray) -> pa.RecordBatch:
+        a, b = code // len(names), code % len(names)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names[a]), pa.array(names[b]), pa.array(count.astype(np.int64)), pa.array(np.minimum(ell[a], ell[b]).astype(np.int64)), pa.array(n[a].astype(np.int64)), pa.array(n[b].astype(np.int64))],
+            ["a", "b", "shared", "least", "na", "nb"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cls, n, ell = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)]) for k, kind in ((3, np.int64), (4, np.int32), (5, np.int32)))
+            size = np.array([len(x.as_buffer()) // 8 for x in batch.column(3)])
+            times, cut = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            names, at, who = np.unique(cls, return_index=True, return_inverse=True)
+            n, ell = n[at].astype(np.int64), ell[at]
+            row = np.repeat(np.arange(len(size)), size)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            # members partner with the larger ones of their list, or of the list's other block
+            second = inner >= cut[row]
+            group = np.where(cut[row] > 0, 2 * row + second, 2 * row)
+            order = np.lexsort((n[who], group))
+            row, group, member = row[order], group[order], who[order]
+            place = (group << 32) + n[member]
+            other = np.where(cut[row] > 0, group ^ 1, group)
+            lower = np.where(cut[row] > 0, np.searchsorted(place, (other << 32) + n[member] + (group & 1)), np.arange(len(row)) + 1)
+            upper = np.searchsorted(place, (other << 32) + 100 * n[member] // percent, "right")
+            m = np.maximum(upper - lower, 0)
+            total = np.cumsum(m)
+            codes, counts, held, i = [], [], 0, 0
+            while i < len(row):
+                base = total[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(total, base + 1_000_000, "right")))
+                mm = m[i:j]
+                left = np.repeat(np.arange(i, j), mm)
+                right = np.repeat(lower[i:j] - np.cumsum(mm) + mm, mm) + np.arange(len(left))
+                x, y = member[left], member[right]
+                code, back = np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y), return_inverse=True)
+                codes.append(code)
+                counts.append(np.bincount(back, times[row[left]], minlength=len(code)))
+                held += len(code)
+                i = j
+                if held > 2_500_000 or i == len(row):
+                    code, back = np.unique(np.concatenate(codes), return_inverse=True)
+                    count = np.bincount(back, np.concatenate(counts), minlength=len(code))
+                    for lo in range(0, len(code), 200_000):
+                        yield emit(code[lo : lo + 200_000], count[lo : lo + 200_000], names, n, ell)
+                    codes, counts, held = [], [], 0
 
     return run
 
@@ -321,7 +399,7 @@ def _candidate_bitmap(ids: DataFrame, n: int) -> tuple[np.ndarray | None, int]:
 
 
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 70, sketch_bits: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 70, sketch_bits: int = 20, longest_list: int = RUN
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, class_id, n_similar, component_id,
     component_class, text_hash.
@@ -341,7 +419,7 @@ def similar_documents(
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     hashed = base.withColumn("h", F.xxhash64("text"))
-    scan = store(hashed.mapInArrow(_scan(size, sketch_bits), "id long, cls long, n long, h long, sketch binary"))
+    scan = store(hashed.mapInArrow(B.lean(_scan(size, sketch_bits)), "id long, cls long, n long, h long, sketch binary"))
     rows = scan.filter("n is not null").select("id", "cls", "n", "h")
     classes = store(rows.filter("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("low"), F.max("n").alias("n")))
     sketch = _sum_sketches(scan.filter("sketch is not null"), sketch_bits)
@@ -351,9 +429,10 @@ def similar_documents(
     tokens = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(tokens * (100 - percent) / 100 / PART_POSTINGS))
     postings = base.select("text").mapInArrow(
-        _postings(size, percent, sketch_bits, order, excess, parts), "part int, token binary, cnt binary, cls binary, n binary, ell binary"
+        B.lean(_postings(size, percent, sketch_bits, order, excess, parts)), "part int, token binary, cnt binary, cls binary, n binary, ell binary"
     )
-    pairs = postings.repartitionById(parts, F.col("part")).mapInArrow(_pairs(percent), "a long, b long, shared long, least long, na long, nb long")
+    runs = postings.repartitionById(parts, F.col("part")).mapInArrow(B.lean(_runs(longest_list)), "key long, times long, cut int, cls binary, n binary, ell binary")
+    pairs = runs.repartition("key").sortWithinPartitions("key").mapInArrow(B.lean(_pairs(percent)), "a long, b long, shared long, least long, na long, nb long")
     found = store(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"), F.max("na").alias("na"), F.max("nb").alias("nb")).filter("shared >= least").select("a", "b", "na", "nb"))
 
     ends = found.select(F.col("a").alias("v"), F.col("b").alias("w"), F.col("na").alias("n")).union(found.select("b", "a", "nb"))
@@ -373,9 +452,9 @@ def similar_documents(
     wanted = base.select("text", F.xxhash64("id").bitwiseAND(F.lit(bits - 1)).alias("p"))
     if bitmap is None:
         wanted = base.join(chosen.select("id").distinct(), base["id"].eqNullSafe(chosen["id"]), "left_semi").select("text", F.lit(0).cast("long").alias("p"))
-    sets = wanted.mapInArrow(_full_sets(size, bitmap), "cls long, blob binary")
+    sets = wanted.mapInArrow(B.lean(_full_sets(size, bitmap)), "cls long, blob binary")
     work = members.join(sets, "cls").select("home", "cls", "ends", "blob")
-    links = store(work.repartition("home").sortWithinPartitions("home", F.col("ends").isNotNull()).mapInArrow(_verify(percent), "a long, b long").distinct())
+    links = store(work.repartition("home").sortWithinPartitions("home", F.col("ends").isNotNull()).mapInArrow(B.lean(_verify(percent)), "a long, b long").distinct())
 
     both = links.union(links.select("b", "a"))
     near = both.join(classes.select(F.col("cls").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
