@@ -34,8 +34,9 @@ def corpus():
     return rows + [(300, "Ein Wort"), (301, "ein wort"), (302, "wort ein")]
 
 
-def test_similar_documents(spark, corpus):
-    out = similar_documents(spark.createDataFrame(corpus, "doc_id long, text string"))
+@pytest.mark.parametrize("longest", [3, 512])
+def test_similar_documents(spark, corpus, longest):
+    out = similar_documents(spark.createDataFrame(corpus, "doc_id long, text string"), longest_list=longest)
     got = sorted(tuple(r[c] for c in ("doc_id", "n_shingles", "n_similar", "component_id")) for r in out.collect())
     assert got == sorted(brute.similar(corpus))
     assert any(n > 1 for _, _, n, _ in got)
