@@ -1,56 +1,5 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables, as in the rest of the library."""
 
-A lost executor must not lose an intermediate result, so lineage is cut with
-Parquet tables below ``spark.checkpoint.dir``.  Where a session names no such
-folder (tests), one is made next to the warehouse of a local session only.
-"""
+from ..scratch import drop, shared_dir, store
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local master without one gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="linkweave-")
-        atexit.register(_remove_local, _OWN[app])
-    return "file://" + _OWN[app]
-
-
-def _remove_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-def store(df: DataFrame) -> DataFrame:
-    """Write ``df`` below the shared folder and read it again: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/linkweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.__dict__["_stored_at"] = path
-    return out
-
-
-def drop(df: DataFrame | None) -> None:
-    """Delete what ``store`` wrote; only for tables that no later plan reads."""
-    path = None if df is None else df.__dict__.get("_stored_at")
-    if path is None:
-        return
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["drop", "shared_dir", "store"]
