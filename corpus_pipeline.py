@@ -18,9 +18,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is told; those without a letter go."""
-    model = language_id.fit(docs.filter(language_id.remainder("doc_id", 4) != 2), "doc_id", "text", "lang")
-    return language_id.predict(docs, model).filter("lang_pred <> 'und'").select(*COLUMNS)
+    """Keep documents whose language the model tells, with ``lang`` set to it.
+
+    Those without a letter go, those that score less than documents of known language
+    that weren't learned from, and ambiguous ones unless the model agrees with their
+    own lang.  Neither ``und`` nor texts without a letter are learned.  Without any
+    document to learn from those with a letter stay, with lang as it came.
+    """
+    letters = F.col("text").rlike(r"\p{L}")
+    labelled, fold = docs.filter((F.col("lang") != "und") & letters), language_id.remainder("doc_id", 4)
+    model = language_id.fit(labelled.filter(fold != 2), "doc_id", "text", "lang")
+    if model is None:
+        return docs.filter(letters).select(*COLUMNS)
+    told = F.col("score") >= language_id.least_score(labelled.filter(fold == 2), model)
+    sure = ~F.col("ambiguous") | F.col("lang").eqNullSafe(F.col("lang_pred"))
+    rows = language_id.predict(docs, model).filter((F.col("lang_pred") != "und") & told & sure)
+    return rows.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

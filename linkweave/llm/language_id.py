@@ -182,6 +182,19 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", ambigu
     return marked.mapInArrow(run, schema)
 
 
+def least_score(held: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", share: float = 0.001) -> float:
+    """The score that all but ``share`` of the rightly predicted rows of ``held`` reach; 0 without any.
+
+    Fewer rows than 1 / ``share`` don't tell that score: then it's that of half the
+    odds of the lowest.  Rows that the model learned from don't belong in ``held``.
+    """
+    right = predict(held, model, text_col).filter(F.col("lang_pred") == F.col(f"`{lang_col}`"))
+    n, low, at = right.agg(F.count("*"), F.min("score"), F.percentile_approx("score", share, 100_000)).first()
+    if not n:
+        return 0.0
+    return at if n * share >= 1 else low / (2 - low)
+
+
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``."""
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % by

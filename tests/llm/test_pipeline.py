@@ -1,6 +1,7 @@
 """The corpus pipeline against plain versions of its stages."""
 
 import random
+import zlib
 
 import public_tokenizers
 import tiktoken
@@ -52,3 +53,19 @@ def test_stages_messy(spark):
         assert stage(spark, docs, "").count() >= 0
         assert stage(spark, docs.limit(0), "").collect() == []
     assert corpus_pipeline.language(spark, docs.withColumn("x", F.lit(1)), "").columns == corpus_pipeline.COLUMNS
+
+
+def test_language_decides(spark):
+    rng = random.Random(3)
+    rows = [(i, said(rng, lang, 60), lang) for i, lang in enumerate(rng.choice(["xx", "yy", "zz"]) for _ in range(400))]
+    clean = dict((i, lang) for i, _, lang in rows)
+    wrong = next(i for i in range(1001, 1100) if zlib.crc32(str(i).encode()) % 4 == 2)  # not learned from
+    rows += [(1000, said(rng, "xx", 60), None), (wrong, said(rng, "yy", 60), "xx")]
+    foreign = [" ".join("".join(rng.choice("абвгдежзиклмнопрстуфхцчшыьэюя") for _ in range(6)) for _ in range(60)) for _ in range(10)]
+    rows += [(2000 + i, t, None) for i, t in enumerate(foreign)] + [(3000, "12 34", "xx"), (3001, None, None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert got == clean | {1000: "xx", wrong: "yy"}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, unlabelled, "").collect()
+    assert {r["doc_id"] for r in kept} == {i for i, t, _ in rows if t and any(c.isalpha() for c in t)} and all(r["lang"] is None for r in kept)
