@@ -26,15 +26,17 @@ from . import _bytes as B
 from ._scratch import drop, store
 
 U = np.uint64
-KEY = ["id", "h", "pos"]
+#: A null id is 0 and not known, so that joins find it and it sorts first.
+DOC = ["known", "id", "h"]
+KEY = [*DOC, "pos"]
 
 
 def _scan(min_words: int):
-    names = ["id", "h", "pos", "l1", "l2", "fwd", "bwd"]
+    names = [*KEY, "l1", "l2", "fwd", "bwd"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, off in B.blocks(batch.column(2)):
+            for i, j, raw, off in B.blocks(batch.column(len(DOC))):
                 docs = j - i
                 breaks = np.flatnonzero(raw == 10)
                 per = np.searchsorted(breaks, off[1:]) - np.searchsorted(breaks, off[:-1]) + 1
@@ -57,8 +59,7 @@ def _scan(min_words: int):
                 bwd = np.where(begin >= first[doc], np.arange(len(doc)) - begin + 1, 0)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(i, docs).take(pa.array(doc)),
-                        batch.column(1).slice(i, docs).take(pa.array(doc)),
+                        *(batch.column(k).slice(i, docs).take(pa.array(doc)) for k in range(len(DOC))),
                         pa.array((np.arange(len(doc)) - first[doc]).astype(np.int32)),
                         pa.array(B.span_hash(B.prefix_hash(raw), starts, ends).view(np.int64)),
                         pa.array(B.span_hash(B.prefix_hash(raw ^ np.uint8(0xA5)), starts, ends).view(np.int64)),
@@ -78,31 +79,32 @@ def _ranked(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _later_copies(units: DataFrame) -> DataFrame:
-    """(id, h, start, length) of the units (r1, r2, length) that aren't their kind's first."""
-    place = F.struct("id", "h", "pos")
+    """(known, id, h, start, length) of the units (r1, r2, length) that aren't their kind's first."""
+    place = F.struct(*KEY)
     first = units.groupBy("r1", "r2", "length").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return units.join(first, ["r1", "r2", "length"]).filter(~F.col("first").eqNullSafe(place)).select("id", "h", F.col("pos").alias("start"), "length")
+    return units.join(first, ["r1", "r2", "length"]).filter(~F.col("first").eqNullSafe(place)).select(*DOC, F.col("pos").alias("start"), "length")
 
 
 def repeated_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored (id, h, start, length): line runs to delete, which may overlap; h hashes the text."""
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text is not null")
-    lines = store(base.mapInArrow(B.lean(_scan(min_words)), "id long, h long, pos int, l1 long, l2 long, fwd int, bwd int"))
+    """Stored (known, id, h, start, length): line runs to delete, which may overlap; h hashes the text."""
+    key = F.col(f"`{id_col}`").cast("long")
+    base = docs.select(key.isNotNull().alias("known"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text is not null")
+    lines = store(base.mapInArrow(B.lean(_scan(min_words)), "known boolean, id long, h long, pos int, l1 long, l2 long, fwd int, bwd int"))
     names = _ranked(lines, "l1", "l2")
     level = store(lines.join(names, ["l1", "l2"]).select(*KEY, "r", "fwd", "bwd"))
     drop(names)
     drop(lines)
-    units = level.filter("fwd > 0").select("id", "h", "pos", F.col("fwd").alias("length"))
-    units = store(units.union(level.filter("bwd > 1").select("id", "h", F.col("pos") - F.col("bwd") + 1, "bwd")).distinct())
+    units = level.filter("fwd > 0").select(*KEY, F.col("fwd").alias("length"))
+    units = store(units.union(level.filter("bwd > 1").select(*DOC, F.col("pos") - F.col("bwd") + 1, "bwd")).distinct())
     level, old = level.select(*KEY, "r").distinct(), level
     found, width = [], 1
     while True:
         now = units.filter(F.col("length") < 2 * width)
-        tail = level.select("id", "h", F.col("pos").alias("end"), F.col("r").alias("r2"))
+        tail = level.select(*DOC, F.col("pos").alias("end"), F.col("r").alias("r2"))
         ends = now.join(level.withColumnRenamed("r", "r1"), KEY).withColumn("end", F.col("pos") + F.col("length") - width)
-        found.append(store(_later_copies(ends.join(tail, ["id", "h", "end"]).select(*KEY, "r1", "r2", "length"))))
+        found.append(store(_later_copies(ends.join(tail, [*DOC, "end"]).select(*KEY, "r1", "r2", "length"))))
         longer = units.filter(F.col("length") >= 2 * width)
-        follow = level.select("id", "h", (F.col("pos") - width).cast("int").alias("pos"), F.col("r").alias("r2"))
+        follow = level.select(*DOC, (F.col("pos") - width).cast("int").alias("pos"), F.col("r").alias("r2"))
         if longer.isEmpty():
             break
         # only suffixes that some longer unit needs go on
@@ -164,7 +166,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     other columns stay.
     """
     runs = repeated_runs(docs, min_words, id_col, text_col)
-    runs = runs.groupBy(*_row_key(F.col("id")), F.col("h").alias("__h")).agg(F.collect_list(F.struct("start", "length")).alias("__runs"))
+    runs = runs.groupBy(F.col("id").alias("__id"), (~F.col("known")).alias("__null"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("start", "length")).alias("__runs"))
     kept = docs.drop("n_lines", "lines_removed")
     schema = kept.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).withColumns({"n_lines": F.lit(0), "lines_removed": F.lit(0)}).schema
     rows = kept.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).select("*", *_row_key(F.col(f"`{id_col}`").cast("long")), F.xxhash64(F.col(f"`{text_col}`")).alias("__h"))

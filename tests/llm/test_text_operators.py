@@ -65,6 +65,17 @@ def test_dedup_lines(spark, least):
     assert out.filter("doc_id = 30").first()["text"] is None
 
 
+def test_dedup_lines_null_ids(spark):
+    passage = "one two three\nfour five six\nseven eight"
+    rows = [(None, f"{passage}\nfirst end"), (None, f"other start\n{passage}"), (0, f"{passage}\nzero"), (4, f"mine\n{passage}"), (5, "nothing shared")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    ordered = [(r["doc_id"], r["text"]) for r in docs.orderBy(F.asc_nulls_first("doc_id"), "h").collect()]
+    want = brute.deduped(ordered, 8)
+    assert sum(passage in t for _, t in want) == 1 and passage in want[0][1]
+    got = dedup_lines(docs.drop("h"), 8).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_dedup_lines_messy(spark):
     out = dedup_lines(messy(spark), 3)
     assert out.columns == [c for c in messy(spark).columns if c != "n_lines"] + ["n_lines", "lines_removed"]
