@@ -1,5 +1,6 @@
 """The corpus pipeline against plain versions of its stages."""
 
+import hashlib
 import random
 import zlib
 
@@ -69,3 +70,9 @@ def test_language_decides(spark):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     kept = corpus_pipeline.language(spark, unlabelled, "").collect()
     assert {r["doc_id"] for r in kept} == {i for i, t, _ in rows if t and any(c.isalpha() for c in t)} and all(r["lang"] is None for r in kept)
+
+
+def test_tokens_decode(spark):
+    rows = [(1, "Ein Wort, 2 Wörter.\n"), (2, "\u2603 x\ty"), (3, ""), (4, None)]
+    out = corpus_pipeline.tokens(spark, spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string"), "")
+    assert {r["doc_id"]: r["decoded_sha256"] for r in out.collect()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows}
