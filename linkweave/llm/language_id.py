@@ -7,7 +7,7 @@ Bits weigh by how well they were predicted on rows kept back from fitting.  A
 text whose two best codewords lie close together is flagged as ambiguous.
 
 Fitting takes a bounded sample: at most ``SAMPLE_ROWS`` documents over all
-languages, drawn by a hash of the id; the closed-form ridge solution is then
+languages, those of the least hash of id and text; the closed-form ridge solution is then
 found on the driver.  Counting and prediction cover all rows.
 """
 
@@ -18,15 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
 
 DIM_BITS = 12
 SAMPLE_ROWS, SAMPLE_PER_LANGUAGE = 4_000, 700
-#: More languages than this are refused: the model and its codewords go to every task.
-MAX_LANGUAGES = 1_000
+#: The model and its codewords go to every task: rarer languages than so many are learned as one, REST.
+MAX_LANGUAGES, REST = 1_000, "other"
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[97:123] = np.arange(97, 123)
 _CLASS[65:91] = np.arange(97, 123)
@@ -125,16 +125,27 @@ def solve(x: np.ndarray, languages: np.ndarray) -> Model:
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model | None:
-    """Fit on a bounded sample of the rows with an id, text and language; None without any."""
+    """Fit on a bounded sample of the rows with an id, text and language; None without any.
+
+    Every language has rows in the sample.  With more than ``MAX_LANGUAGES`` values the
+    rarest (ties by name) are one language, ``REST``, and are predicted as that.
+    """
     rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("id is not null and lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    sizes = rows.groupBy("lang").count()
+    top = sizes.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if not top:
         return None
+    counts = {r["lang"]: r["count"] for r in top}
+    if len(top) > MAX_LANGUAGES:
+        counts = {r["lang"]: r["count"] for r in top[: MAX_LANGUAGES - 1]}
+        own = F.create_map(*[x for k in counts for x in (F.lit(k), F.lit(True))])
+        rows = rows.withColumn("lang", F.when(own[F.col("lang")], F.col("lang")).otherwise(F.lit(REST)))
+        counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     most = min(SAMPLE_PER_LANGUAGE, max(2, SAMPLE_ROWS // len(counts)))
-    limits = [x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, most / r["count"]) * (1 << 30))))]
-    drawn = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.create_map(*limits)[F.col("lang")]).select("lang", "text")
+    # a share of the hashes that surely has ``most`` rows of each language, of which the least hashes count
+    limits = [x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, (2 * most + 40) / n) * (1 << 30))))]
+    near = rows.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))).filter(F.col("h") < F.create_map(*limits)[F.col("lang")])
+    drawn = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))).filter(F.col("n") <= most).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,6 +38,22 @@ def test_language(spark, texts):
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
+def test_many_languages(spark, texts, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    rows = [*texts, *((2000 + i, said(random.Random(i), "zz"), f"rare{i}") for i in range(20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, "doc_id", "text", "lang")
+    first = sorted(PARTS, key=lambda k: (-sum(lang == k for _, _, lang in texts), k))[:2]
+    assert model.languages == sorted([*first, language_id.REST])
+    assert {r["lang_pred"] for r in language_id.identify(docs).collect()} == set(model.languages)
+
+
+def test_every_language_is_drawn(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 120)
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('text of number ', id) as text", "concat('l', id % 60) as lang")
+    assert len(language_id.fit(docs, "doc_id", "text", "lang").languages) == 60
+
+
 def test_language_messy(spark):
     docs = messy(spark).withColumnRenamed("token", "lang")
     assert {r["lang_pred"] for r in language_id.identify(docs).collect()} == {"und"}
