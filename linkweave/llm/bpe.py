@@ -251,14 +251,18 @@ def _encoded(column: pa.Array, encoder: Encoder) -> Iterator[list[bytes]]:
     yield encoder.encode_many(texts)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "token_ids", digest: str | None = None) -> DataFrame:
     """``docs`` with ``into``: the token ids of ``text_col``, as array<int>; other columns as they are.
 
     A null or empty text has no ids.  A column already named ``into`` is replaced.
     Matches of ``pattern`` are encoded separately and no special tokens are known.
+    With ``digest`` the ids are decoded in the same pass, and a column so named has the
+    SHA-256 of the bytes.
     """
-    kept = docs.drop(into)
+    kept = docs.drop(into, *([digest] if digest else []))
     schema = kept.withColumn(into, F.lit(None).cast("array<int>")).schema
+    if digest:
+        schema = schema.add(digest, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(path, pattern)
@@ -269,7 +273,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", int
                 ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 piece = batch.slice(done, len(ids))
-                yield pa.RecordBatch.from_arrays([*piece.columns, lists], [*piece.schema.names, into])
+                shas = [pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids], pa.string())] if digest else []
+                yield pa.RecordBatch.from_arrays([*piece.columns, lists, *shas], schema.names)
                 done += len(ids)
 
     return kept.mapInArrow(run, schema)
