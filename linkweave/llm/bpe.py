@@ -1,20 +1,20 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-``RankQueue`` keeps one bucket of linked-list positions per merge rank.  Three
-levels of 64-bit words mark the buckets in use, so find-first-set names the next
-rank in three steps whatever the text's length; entries that a merge has made
-stale are skipped when they surface.  A pre-token of n bytes costs O(n log n) at
+``RankQueue`` keeps one bucket of linked-list positions per merge rank.  Two levels of
+words mark the buckets in use, so find-first-set names the next rank in two steps
+whatever the text's length; entries that a merge has made stale are skipped when they
+surface.  A pre-token of n bytes costs O(n log n) at
 worst, which is what very long pre-tokens need.
 
-Short pre-tokens are by far the most, and mostly seen before.  New ones of a block
-are merged together by the same rule (lowest rank, then leftmost) on a matrix of
-equally long pre-tokens, and remembered.
+Every pre-token that isn't itself a vocabulary entry goes through the queue.  What it
+gave is remembered, up to ``MEMO_BYTES`` a process, for the next time the pre-token is met.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -25,48 +25,110 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NONE = np.int32(2**31 - 1)
-#: Bytes up to which pre-tokens are merged as matrices; pre-tokens remembered a process; characters a block.
-SHORT, REMEMBERED, BLOCK_CHARS = 32, 300_000, 500_000
+from . import _bytes as B
+
+#: Bytes remembered a process in each of two generations; the longest pre-token remembered; characters a block.
+MEMO_BYTES, MEMO_LONGEST, BLOCK_CHARS = 48_000_000, 512, 500_000
+#: What an entry costs besides its bytes.
+_ENTRY = 220
+#: Bits of a word of the bitmap; the top word has a bit for each of them.
+WORD, SHIFT, MASK = 256, 8, 255
 
 
 class RankQueue:
-    """Positions by merge rank; ``pop`` gives the lowest rank's leftmost position."""
-
-    def __init__(self, ranks: int):
-        self.low = [0] * (ranks // 64 + 1)
-        self.middle = [0] * (ranks // 4096 + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        i = (self.top & -self.top).bit_length() - 1
-        word = self.middle[i]
-        i = i << 6 | (word & -word).bit_length() - 1
-        word = self.low[i]
-        rank = i << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[rank >> 6] ^= 1 << (rank & 63)
-            if not self.low[rank >> 6]:
-                self.middle[rank >> 12] ^= 1 << (rank >> 6 & 63)
-                if not self.middle[rank >> 12]:
-                    self.top ^= 1 << (rank >> 12)
-        return rank, position
+    """Merges pre-tokens, lowest rank first and leftmost within a rank.
+
+    ``buckets`` holds by rank a position, a heap of positions or None; a bit of ``low``
+    marks a bucket in use, a bit of the top word a word of ``low`` that isn't 0.  The
+    queue is empty again after each pre-token.
+    """
+
+    def __init__(self, ranks: int, pairs: dict[int, int]):
+        self.low = [0] * (ranks // WORD + 1)
+        self.bit = [1 << i for i in range(max(WORD, len(self.low)))]
+        self.buckets: list = [None] * ranks
+        self.pairs, self.pushed, self.stale = pairs, 0, 0
+
+    def merge(self, ids: list[int], now: list[int]) -> list[int]:
+        """What is left of ``ids`` when no pair has a rank; ``now`` has the rank of each id with the next, or -1."""
+        low, buckets, find, bit, top, n = self.low, self.buckets, self.pairs.get, self.bit, 0, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        new = [(rank, i) for i, rank in enumerate(now) if rank >= 0]
+        while True:
+            self.pushed += len(new)
+            for rank, i in new:
+                held = buckets[rank]
+                if held is None:
+                    buckets[rank] = i
+                    low[rank >> SHIFT] |= bit[rank & MASK]
+                    top |= bit[rank >> SHIFT]
+                elif held.__class__ is list:
+                    heappush(held, i)
+                else:
+                    buckets[rank] = [held, i] if held < i else [i, held]
+            while top:
+                # find-first-set, twice
+                high = top & -top
+                word = high.bit_length() - 1
+                bits = low[word]
+                first = bits & -bits
+                rank = word << SHIFT | first.bit_length() - 1
+                i = buckets[rank]
+                if i.__class__ is list:
+                    heap = i
+                    i = heappop(heap)
+                    if not heap:
+                        buckets[rank] = None
+                else:
+                    heap = buckets[rank] = None
+                if not heap:
+                    low[word] = bits = bits ^ first
+                    if not bits:
+                        top ^= high
+                if now[i] == rank:
+                    break
+                self.stale += 1
+            else:
+                break
+            j = after[i]
+            ids[i], now[j], new = rank, -1, []
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                now[i] = got = find(rank << 32 | ids[k], -1)
+                if got >= 0:
+                    new.append((got, i))
+            else:
+                now[i] = -1
+            h = before[i]
+            if h >= 0:
+                now[h] = got = find(ids[h] << 32 | rank, -1)
+                if got >= 0:
+                    new.append((got, h))
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
+
+
+class Memo(dict):
+    """Ids by pre-token; misses are made by ``make`` and kept, of which the older half goes when it is full."""
+
+    def __init__(self, make):
+        self.make, self.older, self.held = make, {}, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece.encode())
+        if len(piece) <= MEMO_LONGEST:
+            self.held += _ENTRY + len(piece) + len(ids)
+            if self.held > MEMO_BYTES:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -78,156 +140,36 @@ class Encoder:
         self.text: list[bytes] = [b""] * self.size
         for piece, rank in ranks.items():
             self.text[rank] = piece
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[int, int] = {}
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
                 a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
-        self._table(np.array(list(self.pairs), np.uint64), np.array(list(self.pairs.values()), np.int32))
-        self.known: dict[str, bytes] = {}
-
-    def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Open addressing with linear probing, for many lookups at once."""
-        bits = max(4, int(np.ceil(np.log2(4 * max(1, len(keys))))))
-        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
-        self._keys, self._values = np.full(1 << bits, 2**64 - 1, np.uint64), np.full(1 << bits, NONE, np.int32)
-        left, step = np.arange(len(keys)), 0
-        home = self._home(keys)
-        while len(left):
-            slot = (home[left] + step) & self._mask
-            free = self._keys[slot] == np.uint64(2**64 - 1)
-            first = np.zeros(len(left), bool)
-            first[np.unique(slot, return_index=True)[1]] = True
-            put = free & first
-            self._keys[slot[put]], self._values[slot[put]] = keys[left[put]], values[left[put]]
-            left, step = left[~put], step + 1
-        self._steps = step
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
-
-    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of each pair's union, or NONE."""
-        keys = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
-        slot = self._home(keys)
-        out = np.full(len(keys), NONE, np.int32)
-        got = self._keys[slot]
-        hit = got == keys
-        out[hit] = self._values[slot[hit]]
-        left = np.flatnonzero(~hit & (got != np.uint64(2**64 - 1)))
-        for step in range(1, self._steps + 1):
-            if not len(left):
-                break
-            s = (slot[left] + step) & self._mask
-            got = self._keys[s]
-            hit = got == keys[left]
-            out[left[hit]] = self._values[s[hit]]
-            left = left[~hit & (got != np.uint64(2**64 - 1))]
-        return out
+        self.queue = RankQueue(self.size, self.pairs)
+        self.byte_pairs = [self.pairs.get(self.byte_ids[i >> 8] << 32 | self.byte_ids[i & 255], -1) for i in range(1 << 16)]
+        self.known = Memo(self.ids)
 
-    def merge_long(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token by the rank queue."""
-        n = len(piece)
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        now = self.pair_ranks(ids[:-1], ids[1:]).tolist() + [int(NONE)]
-        ids = ids.tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pairs, queue, none = self.pairs, RankQueue(self.size), int(NONE)
-        for i, rank in enumerate(now):
-            if rank != none:
-                queue.push(rank, i)
-        while (got := queue.pop()) is not None:
-            rank, i = got
-            if now[i] != rank:
-                continue  # stale
-            j = after[i]
-            ids[i], now[j] = rank, -1
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                now[i] = pairs.get(rank << 32 | ids[k], none)
-                if now[i] != none:
-                    queue.push(now[i], i)
-            else:
-                now[i] = none
-            h = before[i]
-            if h >= 0:
-                now[h] = pairs.get(ids[h] << 32 | rank, none)
-                if now[h] != none:
-                    queue.push(now[h], h)
-        out, i = [], 0
-        while i < n:
-            out.append(ids[i])
-            i = after[i]
-        return out
-
-    def merge_short(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids left-aligned, number of ids) of pre-tokens given as rows of equally many bytes."""
-        ids = self.byte_ids[pieces]
-        rows, width = ids.shape
-        count = np.full(rows, width)
-        if width < 2:
-            return ids, count
-        rank = self.pair_ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(rows, width - 1)
-        live = np.arange(rows)
-        place = np.arange(width)
-        while True:
-            at = rank[live].argmin(axis=1)
-            low = rank[live, at]
-            going = low != NONE
-            live, at, low = live[going], at[going], low[going]
-            if not len(live):
-                return ids, count
-            take = np.minimum(place + (place > at[:, None]), width - 1)
-            x = np.take_along_axis(ids[live], take, 1)
-            x[np.arange(len(live)), at] = low
-            ids[live] = x
-            count[live] -= 1
-            r = np.take_along_axis(np.pad(rank[live], ((0, 0), (0, 1)), constant_values=NONE), take, 1)[:, : width - 1]
-            r[:, -1] = NONE
-            k = np.arange(len(live))
-            left = at > 0
-            r[k[left], at[left] - 1] = self.pair_ranks(x[k[left], at[left] - 1], x[k[left], at[left]])
-            right = at + 1 < count[live]
-            r[k[right], at[right]] = self.pair_ranks(x[k[right], at[right]], x[k[right], at[right] + 1])
-            stop = ~right & (at < width - 1)
-            r[k[stop], at[stop]] = NONE
-            rank[live] = r
-
-    def learn(self, pieces: list[str]) -> None:
-        """Remember the ids of new pre-tokens, as little-endian 32-bit integers."""
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                self.known[piece] = whole.to_bytes(4, "little")
-            elif len(raw) > SHORT:
-                self.known[piece] = np.array(self.merge_long(raw), "<u4").tobytes()
-            else:
-                by_length.setdefault(len(raw), []).append((piece, raw))
-        for width, group in by_length.items():
-            ids, count = self.merge_short(np.frombuffer(b"".join(x for _, x in group), np.uint8).reshape(len(group), width))
-            flat = ids[np.arange(width) < count[:, None]].astype("<u4").tobytes()
-            ends = (4 * np.cumsum(count)).tolist()
-            start = 0
-            for (piece, _), end in zip(group, ends):
-                self.known[piece] = flat[start:end]
-                start = end
+        first, pairs = self.byte_ids, self.byte_pairs
+        now = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        now.append(-1)
+        return self.queue.merge([first[b] for b in piece], now)
+
+    def ids(self, piece: bytes) -> bytes:
+        """Ids of one pre-token, as little-endian 32-bit integers."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return whole.to_bytes(4, "little")
+        out = self.merge(piece)
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        split = [self.find(x) for x in texts]
-        new: set[str] = set()
-        for x in split:
-            new.update(x)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self.learn([x for x in new if x not in self.known])
         get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        return [b"".join(map(get, self.find(x))) for x in texts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -277,7 +219,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", int
                 yield pa.RecordBatch.from_arrays([*piece.columns, lists, *shas], schema.names)
                 done += len(ids)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(B.lean(run), schema)
 
 
 def decode(coded: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -292,7 +234,7 @@ def decode(coded: DataFrame, path: str, pattern: str, ids_col: str = "token_ids"
             out = [b"" if x.as_py() is None else encoder.decode(np.asarray(x.values, "<u4").tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, into])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(B.lean(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,4 +256,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     back.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return base.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return base.mapInArrow(B.lean(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

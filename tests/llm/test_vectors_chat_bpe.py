@@ -1,5 +1,6 @@
 import hashlib
 import random
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -99,17 +100,20 @@ def test_chat(spark):
     assert chat.read_back(chat.expand(turns.limit(0))).collect() == []
 
 
+@lru_cache
+def library():
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load(PATH, PATTERN).ranks, special_tokens={})
+
+
 @pytest.fixture(scope="module")
 def tik():
-    e = bpe.load(PATH, PATTERN)
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=e.ranks, special_tokens={})
+    return library()
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.text(), st.text(alphabet="abc etaoin'é.  \n12", max_size=80)), max_size=4))
 def test_bpe_as_the_library(texts):
-    e = bpe.load(PATH, PATTERN)
-    t = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=e.ranks, special_tokens={})
+    e, t = bpe.load(PATH, PATTERN), library()
     for text, ids in zip(texts, e.encode_many(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode_ordinary(text)
         assert e.decode(ids) == text.encode()
@@ -119,11 +123,40 @@ def test_bpe_long_pre_tokens(tik):
     e, rng = bpe.load(PATH, PATTERN), random.Random(8)
     for alphabet in ("a", "ab", "etaoinshr", "né漢", "."):
         text = "".join(rng.choice(alphabet) for _ in range(20_000))
-        assert e.merge_long(text.encode()) == tik._encode_single_piece(text.encode())
+        assert e.merge(text.encode()) == tik._encode_single_piece(text.encode())
     for n in range(1, 70):
         raw = bytes(rng.randrange(256) for _ in range(n))
-        ids, count = e.merge_short(np.frombuffer(raw, np.uint8)[None])
-        assert ids[0, : count[0]].tolist() == e.merge_long(raw)
+        assert e.merge(raw) == tik._encode_single_piece(raw)
+    assert not any(e.queue.low) and set(e.queue.buckets) == {None}
+
+
+def test_bpe_queue_serves_every_pre_token():
+    """What isn't a vocabulary entry is merged by the queue once, and again only when the memo has let it go."""
+    e = bpe.Encoder(bpe.load(PATH, PATTERN).ranks, PATTERN)
+    merged = []
+    own = e.merge
+    e.merge = lambda piece: (merged.append(piece), own(piece))[1]
+    texts = ["lorem ipsum zyxwvu zyxwvu", "qqxqj zyxwvu", "aaaaaaa" * 30]
+    e.encode_many(texts)
+    assert sorted(merged) == sorted({x.encode() for t in texts for x in e.find(t)} - e.ranks.keys())
+    assert e.queue.pushed > len(merged) and e.queue.stale > 0
+
+
+def test_bpe_memo_is_bounded(monkeypatch, tik):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 5_000)
+    e, rng = bpe.Encoder(bpe.load(PATH, PATTERN).ranks, PATTERN), random.Random(4)
+    texts = [" ".join("".join(rng.choice("bcdfgh") for _ in range(rng.choice([3, 9, 700]))) for _ in range(20)) for _ in range(20)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_many(texts)] == [tik.encode_ordinary(t) for t in texts]
+    assert len(e.known) + len(e.known.older) <= 2 * 5_000 // bpe._ENTRY and max(map(len, e.known)) <= bpe.MEMO_LONGEST
+
+
+def test_bpe_ranks_out_of_order():
+    """A merge may make a pair of a lower rank than its own; it is next, before what else has the old rank."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 300, b"abc": 260, b"abcab": 259, b"ca": 301}
+    e = bpe.Encoder(ranks, PATTERN)
+    t = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text in ("abcabcab", "ababab", "cabcabca", "aabbcc"):
+        assert e.merge(text.encode()) == t._encode_single_piece(text.encode())
 
 
 def test_bpe_tables(spark, tik):
