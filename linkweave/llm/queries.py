@@ -21,7 +21,8 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("mix_epoch").cast("int").alias("mix_epoch"), "mix_order", "mix_weight")
+    mixed = mix(_table(spark, sf_dir, "documents"), epochs=1.5)
+    return mixed.select("doc_id", "source", F.col("mix_epoch").cast("int").alias("mix_epoch"), "mix_order", F.round("mix_weight", 9).alias("mix_weight"))
 
 
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +107,43 @@ select s.doc_id, cast(len(s.s) as bigint) as n_shingles,
   cast((select count(*) from l where l.a = s.doc_id) as bigint) as n_similar,
   least(s.doc_id, coalesce((select min(b) from r where r.a = s.doc_id), s.doc_id)) as component_id
 from s""",
+    "op2_temperature_mixing": r"""
+with recursive d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as tokens,
+    cast('0x' || substring(md5(concat_ws('|', cast(doc_id as varchar), coalesce(text, ''))), 1, 8) as bigint) % 1024 as block from documents
+), b as (select source, block, cast(sum(tokens) as bigint) as tokens from d group by source, block
+), s as (select source, cast(sum(tokens) as bigint) as tokens from b group by source having sum(tokens) > 0
+), p as (select list(tokens / total) as p, any_value(total) as total, floor(1.5 * any_value(total) + 0.5) as budget, count(*) as n from s, (select cast(sum(tokens) as double) as total from s)
+), g as (
+  select *, ln(n) as most, -list_sum(list_transform(p, lambda x: x * ln(x))) as h1 from p
+), h as (
+  select 0 as step, 0.0::double as lo, 1.0::double as width, 0.0::double as floor_lo, p, total, budget, n, h1 + 0.5 * (most - h1) - 1e-12 as wanted from g
+  union all
+  select step + 1,
+    lo + width * coalesce((select max(i) from range(33) t(i) where
+      ln(list_sum(list_transform(p, lambda x: pow(x, lo + width * i / 32)))) - list_sum(list_transform(p, lambda x: pow(x, lo + width * i / 32) * ln(pow(x, lo + width * i / 32)))) / list_sum(list_transform(p, lambda x: pow(x, lo + width * i / 32))) >= wanted), 0) / 32,
+    width / 32,
+    floor_lo + width * coalesce((select max(i) from range(33) t(i) where
+      list_max(list_transform(p, lambda x: pow(x, floor_lo + width * i / 32 - 1))) / list_sum(list_transform(p, lambda x: pow(x, floor_lo + width * i / 32))) * budget / total > 4 + 1e-12), 0) / 32,
+    p, total, budget, n, wanted from h where step < 5
+), a as (
+  select *, case when total / (n * list_min(p) * total) * budget / total > 4 + 1e-12 then greatest(lo, least(1.0, floor_lo + pow(2.0, -25))) else lo end as alpha from h where step = 5
+), q as (
+  select source, tokens, pow(tokens / total, alpha) / list_sum(list_transform(p, lambda x: pow(x, alpha))) as weight, budget from s, a
+), e as (
+  select *, cast(floor(floor(weight * budget + 0.5) / tokens) as bigint) as passes, floor(weight * budget + 0.5) as due from q
+), k as (
+  select b.source, b.tokens, e.due - e.passes * e.tokens as rest,
+    substring(md5(concat_ws('|', coalesce('=' || b.source, 'null'), b.block, e.passes, 11)), 1, 16) || lpad(cast(b.block as varchar), 4, '0') as key
+  from b join e on b.source is not distinct from e.source
+), c as (
+  select source, max(key) as cut from (select *, sum(tokens) over (partition by source order by key) as upto from k) where rest > 0 and rest >= upto - tokens / 2 group by source
+), t as (
+  select d.doc_id, d.source, d.block, e.weight, e.passes + case when substring(md5(concat_ws('|', coalesce('=' || d.source, 'null'), d.block, e.passes, 11)), 1, 16) || lpad(cast(d.block as varchar), 4, '0') <= c.cut then 1 else 0 end as times
+  from d join e on d.source is not distinct from e.source left join c on d.source is not distinct from c.source
+), x as (select *, unnest(range(times)) as epoch from t)
+select doc_id, source, cast(epoch as integer) as mix_epoch,
+  substring(md5(concat_ws('|', coalesce('=' || source, 'null'), block, epoch, 11)), 1, 16) || lpad(cast(block as varchar), 4, '0') as mix_order, round(weight, 9) as mix_weight from x""",
     "op5_exact_topk": """
 with r as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings

@@ -1,5 +1,7 @@
 """Plain versions of the operators' results, for small tables."""
 
+import hashlib
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,3 +57,50 @@ def top(rows, queries, k):
             scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return out
+
+
+def mixed(rows, epochs, entropy, closing, repeats, seed):
+    """((doc_id, source, epoch, order, weight) rows, exponent) of (doc_id, text, source) rows."""
+    md5 = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
+    size, block, tokens, sizes = {}, {}, {}, {}
+    for i, text, source in rows:
+        block[i] = int(md5(i, text or "")[:8], 16) % 1024
+        size[i] = len(WORD.findall(text or ""))
+        tokens[source] = tokens.get(source, 0) + size[i]
+        sizes[source, block[i]] = sizes.get((source, block[i]), 0) + size[i]
+    tokens = {s: n for s, n in tokens.items() if n}
+    total = sum(tokens.values())
+    budget = min(math.floor(epochs * total + 0.5), math.floor(repeats * total))
+
+    def weights(a):
+        w = {s: (n / total) ** a for s, n in tokens.items()}
+        return {s: x / sum(w.values()) for s, x in w.items()}
+
+    spread = lambda a: -sum(w * math.log(w) for w in weights(a).values())
+    wanted = entropy * math.log(len(tokens)) if entropy is not None else spread(1) + closing * (math.log(len(tokens)) - spread(1))
+    over = lambda a: max(w * budget / tokens[s] for s, w in weights(a).items()) > repeats + 1e-12
+
+    def largest(fine):
+        """Of the multiples of 2**-25 up to 1."""
+        low, high = 0, 1 << 25
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if fine(mid / (1 << 25)) else (low, mid - 1)
+        return low / (1 << 25)
+
+    alpha = largest(lambda a: spread(a) >= wanted - 1e-12)
+    if over(0):
+        alpha = max(alpha, min(1.0, largest(over) + 2.0**-25))
+    out, weight = [], weights(alpha)
+    for source, n in tokens.items():
+        due = math.floor(weight[source] * budget + 0.5)
+        passes, rest = divmod(due, n)
+        name = "null" if source is None else f"={source}"
+        order = lambda b, e: md5(name, b, e, seed)[:16] + f"{b:04d}"  # noqa: B023, E731
+        taken, upto = set(), 0
+        for b in sorted((b for s, b in sizes if s == source), key=lambda b: order(b, passes)):
+            upto += sizes[source, b]
+            if rest and rest >= upto - sizes[source, b] / 2:
+                taken.add(b)
+        out += [(i, source, e, order(block[i], e), weight[source]) for i, _, s in rows if s == source for e in range(passes + (block[i] in taken))]
+    return out, alpha
