@@ -1,5 +1,5 @@
 """Intermediate tables, as in the rest of the library."""
 
-from ..scratch import drop, shared_dir, store
+from ..scratch import drop, shared_dir, store, temporary
 
-__all__ = ["drop", "shared_dir", "store"]
+__all__ = ["drop", "shared_dir", "store", "temporary"]

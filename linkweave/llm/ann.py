@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._scratch import store
-from .vectors import best, matrix, top, usable
+from .vectors import best, matrix, packed, stretches, top, usable
 
-#: Numbers in the sample; centroids a half at most; rows a shard holds in memory; queries a task walks.
-SAMPLE_FLOATS, MOST_CENTROIDS, SHARD_ROWS, TASK_QUERIES = 1_300_000, 256, 8_192, 200
+#: Numbers in the sample; centroids a half at least (if the sample has four times as many rows) and at most; rows a shard holds in memory; queries a task walks.
+SAMPLE_FLOATS, LEAST_CENTROIDS, MOST_CENTROIDS, SHARD_ROWS, TASK_QUERIES = 1_300_000, 128, 1_024, 8_192, 200
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -43,7 +43,32 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c**2).sum(axis=1)[None, :] - 2 * (x @ c.T)).argmin(axis=1)
+    norms = (c**2).sum(axis=1)[None, :]
+    parts = [(norms - 2 * (x[i : i + 4096] @ c.T)).argmin(axis=1) for i in range(0, len(x), 4096)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products summed in the order of the components, so that equal rows score equally wherever they lie."""
+    out = np.zeros(len(rows))
+    for column, x in zip(rows.T, q):
+        out += column * x
+    return out
+
+
+def best_exact(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the k largest ``products``, ties to the smaller id.
+
+    A matrix product, whose sums may differ in their last bits, leaves only the rows
+    that its rounding could put among the k largest.
+    """
+    at, quick = np.arange(len(rows)), rows @ q
+    if len(rows) > k:
+        slack = 4 * len(q) * np.finfo(float).eps * np.sqrt((rows**2).sum(axis=1).max() * (q**2).sum())
+        at = np.flatnonzero(quick >= np.partition(quick, len(quick) - k)[len(quick) - k] - slack)
+    score = products(rows[at], q)
+    order = top(score, ids[at], k)
+    return at[order], score[order]
 
 
 class MultiIndex:
@@ -92,11 +117,12 @@ def fit(rows: DataFrame, n: int, k: int, recall: float) -> tuple[MultiIndex, flo
     """Codebooks and the share of rows to walk; a vector of one component gets an empty half."""
     d = len(rows.first()["v"])
     share = min(1.0, SAMPLE_FLOATS / d / n)
-    drawn = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) <= int(share * (1 << 30))).select("vec_id", "v").limit(2 * SAMPLE_FLOATS // d + 1).repartition(1).collect()
-    drawn.sort(key=lambda r: (r["vec_id"], r["v"]))
+    h = F.pmod(F.xxhash64("vec_id", "v", F.lit(3)), F.lit(1 << 30))
+    near = rows.select("vec_id", "v", h.alias("h")).filter(F.col("h") <= int(min(1.0, 1.3 * share) * (1 << 30)))
+    drawn = near.orderBy("h", "vec_id", "v").limit(SAMPLE_FLOATS // d + 1).collect()  # the least hashes
     x = np.array([r["v"] for r in drawn])
     x = x[np.random.default_rng(1).permutation(len(x))]
-    width = int(min(MOST_CENTROIDS, max(2, math.sqrt(n / 16)), max(1, len(x) // 4)))
+    width = int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, math.sqrt(n / 3)), max(1, len(x) // 4)))
     index = MultiIndex(kmeans(x[:, : d // 2], width), kmeans(x[:, d // 2 :], width))
     return index, index.needed(x, k, recall)
 
@@ -111,6 +137,8 @@ def _assign(index: MultiIndex):
     return run
 
 
+#: So that rows of one id needn't share a shard.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _NAMES = ["shard", "is_query", "vec_id", "cells", "v"]
 
 
@@ -120,7 +148,7 @@ def _deal(first: np.ndarray, split: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            shard = first[cell] + (B.mix(ids.astype(np.uint64)) % split[cell].astype(np.uint64)).astype(np.int64)
+            shard = first[cell] + (B.mix(ids.astype(np.uint64) + _SPREAD * np.arange(len(ids), dtype=np.uint64)) % split[cell].astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.zeros(len(ids), bool)), batch.column(0), pa.array([x.tobytes() for x in cell.astype(np.int32)], pa.binary()), batch.column(2)], _NAMES)
 
     return run
@@ -153,37 +181,43 @@ def _rerank(k: int):
         last, ids, cells, rows, ready = None, [], [], [], None
         for batch in batches:
             out: list[list] = [[], [], []]
-            for shard, is_query, who, cell, v in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if shard != last:
-                    last, ids, cells, rows, ready = shard, [], [], [], None
-                if not is_query:
-                    ids.append(who)
-                    cells.append(cell)
-                    rows.append(v)
+            shard, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            who, v = batch.column(2).to_numpy(), packed(batch.column(4))
+            for a, b in stretches(shard, query):
+                if shard[a] != last:
+                    last, ids, cells, rows, ready = shard[a], [], [], [], None
+                cell = batch.column(3).slice(a, b - a)
+                if not query[a]:
+                    ids.append(who[a:b].copy())
+                    cells.append(np.frombuffer(b"".join(cell.to_pylist()), np.int32))
+                    rows.append(v[a:b].copy())
                     continue
                 if ready is None:
                     if not ids:
                         continue
-                    ready = (np.array(ids, np.int64), np.frombuffer(b"".join(cells), np.int32), np.frombuffer(b"".join(rows)).reshape(len(ids), -1))
-                at = np.flatnonzero(np.isin(ready[1], np.frombuffer(cell, np.int32)) & (ready[0] != who))
-                if not len(at):
-                    continue
-                score = ready[2][at] @ np.frombuffer(v)
-                order = top(score, ready[0][at], k)
-                out[0].append(np.full(len(order), who, np.int64))
-                out[1].append(ready[0][at[order]])
-                out[2].append(score[order])
+                    ready = (np.concatenate(ids), np.concatenate(cells), np.concatenate(rows))
+                    rows = []
+                for i, own in zip(range(a, b), cell):
+                    at = np.flatnonzero(np.isin(ready[1], np.frombuffer(own.as_buffer(), np.int32)) & (ready[0] != who[i]))
+                    if not len(at):
+                        continue
+                    place, score = best_exact(ready[2][at], ready[0][at], v[i], k)
+                    out[0].append(np.full(len(place), who[i], np.int64))
+                    out[1].append(ready[0][at[place]])
+                    out[2].append(score)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest_neighbours(table: DataFrame, every: int = 20, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(table: DataFrame, every: int = 20, k: int = 20, recall: float = 0.94, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each row whose id ``every`` divides.
 
     Candidates are all rows but those with the query's own id; ties go to the
-    smaller id; a walk goes on until it holds k rows besides the query, if there are.
+    smaller id, and equal vectors have equal scores; a walk goes on until it holds k
+    rows besides the query, if there are.  ``recall`` is what the walked share is
+    measured for on the sample.
     Rows with a null id, and vectors null, empty, zero, of another than the commonest
     length, or holding null or non-finite components, take no part.  Rows with equal
     ids are separate candidates, and the one least in bytes is the query.  Other

@@ -30,6 +30,22 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def packed(column: pa.Array) -> np.ndarray:
+    """Binary values of equally many doubles as the rows of an array."""
+    if not len(column):
+        return np.zeros((0, 0))
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float64).reshape(len(column), -1)
+
+
+def stretches(shard: np.ndarray, is_query: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the stretches of rows that agree in both."""
+    if not len(shard):
+        return []
+    edge = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (is_query[1:] != is_query[:-1]), True])
+    return list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k highest scores of each query, ties to the smaller id, ranked from 1."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
