@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, matrix, top, usable
+from .vectors import best, matrix, stretches, usable
 
 SHARD_ROWS, BLOCK_DIMS = 16_384, 8
 
@@ -36,11 +36,13 @@ class Shard:
 
     def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows other than the query's own, of 64-bit integer products."""
-        if self.largest * float(np.abs(q.astype(np.float64)).max(initial=0)) * len(q) >= 2.0**52:
-            score = self.exact @ q  # too large for exact floats: no bounds
+        bound = self.largest * float(np.abs(q.astype(np.float64)).max(initial=0)) * len(q)
+        if bound >= 2.0**62:  # 64-bit sums may wrap, so no bound holds
+            score = self.exact @ q
             keep = np.flatnonzero(self.ids != own)
             at = keep[_top_int(score[keep], self.ids[keep], k)]
             return self.ids[at], score[at]
+        slack = 1e-3 + bound * 2.0**-46  # more than the sums of doubles are off
         f = q.astype(np.float64)
         heavy = sorted(self.blocks, key=lambda b: -float((f[b] ** 2).sum()))
         left = float((f**2).sum())
@@ -58,41 +60,45 @@ class Shard:
             lead = np.argpartition(partial, len(partial) - k)[len(partial) - k :]
             known = f @ self.columns[:, live[lead]]
             least = max(least, float(known.min()))
-            keep = partial + np.sqrt(np.maximum(rest, 0) * max(left, 0)) * (1 + 1e-9) + 1e-3 >= least
+            keep = partial + np.sqrt(np.maximum(rest, 0) * max(left, 0)) * (1 + 1e-9) + 2 * slack >= least
             if keep.sum() < 0.8 * len(live):
                 live, partial, rest = live[keep], partial[keep], rest[keep]
-        at = top(partial, self.ids[live], k)
-        return self.ids[live[at]], np.rint(partial[at]).astype(np.int64)
+        score = np.rint(partial).astype(np.int64) if bound < 2.0**52 else self.exact[live] @ q
+        at = _top_int(score, self.ids[live], k)
+        return self.ids[live[at]], score[at]
 
 
 def _top_int(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, np.invert(score)))[:k]
+    at = np.arange(len(score))
+    if len(score) > k:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    return at[np.lexsort((ids[at], np.invert(score[at])))[:k]]
 
 
 def _work(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ids, rows, shard = None, [], [], None
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            query = batch.column(1).to_numpy(zero_copy_only=False)
+            key, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             who, v = batch.column(2).to_numpy(), matrix(batch.column(3))
             out: list[list] = [[], [], []]
-            for i in range(batch.num_rows):
-                if key[i] != last:
-                    last, ids, rows, shard = key[i], [], [], None
-                if not query[i]:
-                    ids.append(who[i])
-                    rows.append(v[i].copy())
+            for a, b in stretches(key, query):
+                if key[a] != last:
+                    last, ids, rows, shard = key[a], [], [], None
+                if not query[a]:
+                    ids.append(who[a:b].copy())
+                    rows.append(v[a:b].copy())
                     continue
                 if shard is None:
                     if not ids:
                         continue
-                    shard = Shard(np.array(ids, np.int64), np.stack(rows))
-                    ids, rows = [0], []
-                found, score = shard.search(int(who[i]), v[i], k)
-                out[0].append(np.full(len(found), who[i], np.int64))
-                out[1].append(found)
-                out[2].append(score)
+                    shard = Shard(np.concatenate(ids), np.concatenate(rows))
+                    rows = []
+                for i in range(a, b):
+                    found, score = shard.search(int(who[i]), v[i], k)
+                    out[0].append(np.full(len(found), who[i], np.int64))
+                    out[1].append(found)
+                    out[2].append(score)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
@@ -110,7 +116,8 @@ def exact_topk(table: DataFrame, every: int = 50, k: int = 5, scale: float = 256
     """
     rows = usable(table, id_col, vector_col, nonzero=False).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("v"))
     shards = max(1, math.ceil(rows.count() / SHARD_ROWS))
-    data = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "vec_id", "v")
+    # rows of one id needn't share a shard
+    data = rows.select(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "vec_id", "v")
     ask = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "vec_id", "v")
     work = data.unionByName(ask).repartition("shard").sortWithinPartitions("shard", "is_query")
     return best(work.mapInArrow(_work(k), "query_id long, vec_id long, score long"), k)
