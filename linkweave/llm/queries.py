@@ -155,20 +155,20 @@ with r as (
 select query_id, cast(rank as integer) as rank, vec_id, score from t where rank <= 5""",
     "op6_chat_format": r"""
 with c as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, case when conv_id is null then row_number() over () end as alone from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok', null union all select -7, 1, 'assistant', '\### Assistant: </turn> ok', null
 ), f as (
   select *, 4 + 2 + 8 + length(replace(replace(replace(replace(role, '\', '\\'), '#', '\h'), '<', '\l'), ':', '\c'))
     + length(replace(replace(replace(text, '\', '\\'), '#', '\h'), '<', '\l')) as size from c
 ), g as (
-  select *, sum(size) over (partition by conv_id order by turn, role, text rows unbounded preceding) as upto,
-    row_number() over (partition by conv_id order by turn desc, role desc, text desc) as back from f
+  select *, sum(size) over (partition by conv_id, alone order by turn, role, text rows unbounded preceding) as upto,
+    row_number() over (partition by conv_id, alone order by turn desc, role desc, text desc) as back from f
 )
 select conv_id, cast(count(*) as bigint) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   cast(coalesce(sum(upto) filter (role = 'assistant' or back = 1), 0) as bigint) as formatted_chars
-from g group by conv_id""",
+from g group by conv_id, alone""",
     "op9_line_dedup": r"""
 with l as (
   select doc_id, text, string_split(text, chr(10)) as lines from documents
