@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._scratch import drop, store
+from ._scratch import drop, store, temporary
 
 U = np.uint64
 #: A null id is 0 and not known, so that joins find it and it sorts first.
 DOC = ["known", "id", "h"]
 KEY = [*DOC, "pos"]
+#: Most lines or runs that are joined by broadcast.
+HOT = 10_000
 
 
 def _scan(min_words: int):
@@ -73,25 +75,38 @@ def _scan(min_words: int):
 
 
 def _ranked(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, r) of the pairs that occur more than once; r keeps their order."""
-    often = pairs.groupBy(a, b).count().filter("count > 1").select(a, b)
+    """(a, b, n, r) of the pairs that occur more than once, n times; r keeps their order."""
+    often = pairs.groupBy(a, b).agg(F.count("*").alias("n")).filter("n > 1")
     return store(often.repartitionByRange(a, b).sortWithinPartitions(a, b).withColumn("r", F.monotonically_increasing_id()))
 
 
+def _meet(rows: DataFrame, kinds: DataFrame, keys: list[str]) -> DataFrame:
+    """Join of ``rows`` with ``kinds``, which has a row a key and in n the number of its ``rows``.
+
+    Keys of more than a ``HOT``-th of all these rows, so at most ``HOT`` of them, are
+    broadcast and leave their rows where they are; the rest are joined by key.
+    """
+    total = kinds.agg(F.sum("n")).first()[0] or 0
+    hot = kinds.filter(F.col("n") > total // HOT).withColumn("__hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    cold = marked.filter("__hot is null").select(*rows.columns).join(kinds.filter(F.col("n") <= total // HOT), keys)
+    return marked.filter("__hot").drop("__hot").unionByName(cold)
+
+
 def _later_copies(units: DataFrame) -> DataFrame:
     """(known, id, h, start, length) of the units (r1, r2, length) that aren't their kind's first."""
     place = F.struct(*KEY)
-    first = units.groupBy("r1", "r2", "length").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return units.join(first, ["r1", "r2", "length"]).filter(~F.col("first").eqNullSafe(place)).select(*DOC, F.col("pos").alias("start"), "length")
+    first = store(units.groupBy("r1", "r2", "length").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    return _meet(units, first, ["r1", "r2", "length"]).filter(~F.col("first").eqNullSafe(place)).select(*DOC, F.col("pos").alias("start"), "length")
 
 
 def repeated_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored (known, id, h, start, length): line runs to delete, which may overlap; h hashes the text."""
+    """(known, id, h, start, length): line runs to delete, which may overlap; h hashes the text."""
     key = F.col(f"`{id_col}`").cast("long")
     base = docs.select(key.isNotNull().alias("known"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text is not null")
     lines = store(base.mapInArrow(B.lean(_scan(min_words)), "known boolean, id long, h long, pos int, l1 long, l2 long, fwd int, bwd int"))
     names = _ranked(lines, "l1", "l2")
-    level = store(lines.join(names, ["l1", "l2"]).select(*KEY, "r", "fwd", "bwd"))
+    level = store(_meet(lines, names, ["l1", "l2"]).select(*KEY, "r", "fwd", "bwd"))
     drop(names)
     drop(lines)
     units = level.filter("fwd > 0").select(*KEY, F.col("fwd").alias("length"))
@@ -102,7 +117,9 @@ def repeated_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -
         now = units.filter(F.col("length") < 2 * width)
         tail = level.select(*DOC, F.col("pos").alias("end"), F.col("r").alias("r2"))
         ends = now.join(level.withColumnRenamed("r", "r1"), KEY).withColumn("end", F.col("pos") + F.col("length") - width)
-        found.append(store(_later_copies(ends.join(tail, [*DOC, "end"]).select(*KEY, "r1", "r2", "length"))))
+        kinds = store(ends.join(tail, [*DOC, "end"]).select(*KEY, "r1", "r2", "length"))
+        found.append(store(_later_copies(kinds)))
+        drop(kinds)
         longer = units.filter(F.col("length") >= 2 * width)
         follow = level.select(*DOC, (F.col("pos") - width).cast("int").alias("pos"), F.col("r").alias("r2"))
         if longer.isEmpty():
@@ -110,7 +127,7 @@ def repeated_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -
         # only suffixes that some longer unit needs go on
         pairs = store(level.withColumnRenamed("r", "r1").join(follow, KEY))
         names = _ranked(pairs, "r1", "r2")
-        after = store(pairs.join(names, ["r1", "r2"]).select(*KEY, "r"))
+        after = store(_meet(pairs, names, ["r1", "r2"]).select(*KEY, "r"))
         drop(pairs)
         drop(names)
         alive = store(longer.join(after.select(*KEY), KEY, "left_semi"))
@@ -165,7 +182,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     lines go is empty.  Columns already named n_lines or lines_removed are replaced,
     other columns stay.
     """
-    runs = repeated_runs(docs, min_words, id_col, text_col)
+    with temporary() as keep:
+        runs = keep(store(repeated_runs(docs, min_words, id_col, text_col)))
     runs = runs.groupBy(F.col("id").alias("__id"), (~F.col("known")).alias("__null"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("start", "length")).alias("__runs"))
     kept = docs.drop("n_lines", "lines_removed")
     schema = kept.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).withColumns({"n_lines": F.lit(0), "lines_removed": F.lit(0)}).schema
