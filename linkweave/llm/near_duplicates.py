@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._scratch import drop, store
+from ._scratch import store, temporary
 from .components import components
 
 U = np.uint64
@@ -416,7 +416,20 @@ def similar_documents(
     smallest id unless all in its component are null.  Rows with equal ids are
     separate documents.  Other columns are not read.
     """
-    spark = docs.sparkSession
+    with temporary() as keep:
+        rows, facts = _groups(docs, id_col, text_col, size, percent, sketch_bits, longest_list)
+        facts = keep(store(facts))
+        keep(rows)
+    rows = rows.filter("n is not null").select("id", "cls", "n", "h")
+    return rows.join(facts, "cls", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"),
+        F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("root", "cls").alias("component_class"), F.col("h").alias("text_hash"),
+    )
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, sketch_bits: int, longest_list: int) -> tuple[DataFrame, DataFrame]:
+    """The stored scan of all rows, and (cls, n_similar, component_id, root) of the classes that link or have copies."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     hashed = base.withColumn("h", F.xxhash64("text"))
     scan = store(hashed.mapInArrow(B.lean(_scan(size, sketch_bits)), "id long, cls long, n long, h long, sketch binary"))
@@ -466,12 +479,4 @@ def similar_documents(
         .filter("copies > 1 or near is not null")
         .select("cls", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"), F.coalesce("component", "low").alias("component_id"), F.coalesce("root", "cls").alias("root"))
     )
-    out = rows.join(facts, "cls", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"),
-        F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce("root", "cls").alias("component_class"), F.col("h").alias("text_hash"),
-    )
-    drop(place)
-    drop(found)
-    drop(visits)
-    return out
+    return scan, facts
