@@ -153,7 +153,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model
                 x = trigram_features(raw, off).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    got = drawn.mapInArrow(run, "lang string, x binary").limit(2 * SAMPLE_ROWS).repartition(1).collect()
+    got = drawn.mapInArrow(run, "lang string, x binary").collect()  # ``most`` of each language
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     order = np.random.default_rng(3).permutation(len(got))
     if not len(got):
@@ -215,7 +215,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per row of ``docs``: id_col, held_out, lang_pred, score, ambiguous.
 
     Fitted on the rows with a language whose fold (crc32 of the id modulo ``folds``)
-    isn't ``held``.  A row without an id isn't used to fit and isn't held out.
+    isn't ``held``.  A row without an id isn't used to fit and isn't held out.  Beyond
+    ``MAX_LANGUAGES`` values of ``lang_col`` the rarest are one language, ``REST``.
     """
     model = fit(docs.filter(remainder(id_col, folds) != held), id_col, text_col, lang_col)
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(remainder(id_col, folds) == held, F.lit(False)).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))

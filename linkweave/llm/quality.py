@@ -185,7 +185,7 @@ def fit(sample: DataFrame) -> Forest | None:
                 x = statistics(raw, off)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(i, j - i)], ["x", "y"])
 
-    got = sample.mapInArrow(run, "x binary, y double").limit(2 * SAMPLE_ROWS).repartition(1).collect()
+    got = sample.mapInArrow(run, "x binary, y double").orderBy(F.xxhash64("x", "y"), "x", "y").limit(2 * SAMPLE_ROWS).collect()  # more only if ids repeat
     if not got:
         return None
     got.sort(key=lambda r: (bytes(r["x"]), r["y"]))

@@ -123,12 +123,12 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(hits[at].astype(np.int64)), pa.array(docs[at].astype(np.int64))], ["bucket", "hits", "docs"])
 
 
-def telling_features(sample: DataFrame, n: int, positive: int) -> np.ndarray:
-    """The at most ``MOST_FEATURES`` buckets whose documents' labels differ most from the rest's, by chi-square, sorted."""
+def telling_features(sample: DataFrame, n: int, positive: int, most: int = MOST_FEATURES, least: float = 10.0) -> np.ndarray:
+    """The at most ``most`` buckets of at least ``LEAST_DOCS`` documents whose labels differ most from the rest's, by a chi-square over ``least``, sorted."""
     counts = sample.mapInArrow(_feature_counts, "bucket long, hits long, docs long").groupBy("bucket").agg(F.sum("hits").alias("a"), F.sum("docs").alias("d")).filter(F.col("d") >= LEAST_DOCS)
     expected = F.col("d") * F.lit(positive / n)
     chi = F.pow(F.col("a") - expected, 2) / (expected * F.lit(1 - positive / n) + F.lit(1e-9))
-    rows = counts.withColumn("chi", chi).filter("chi > 10").orderBy(F.desc("chi"), "bucket").limit(MOST_FEATURES).select("bucket").collect()
+    rows = counts.withColumn("chi", chi).filter(F.col("chi") > least).orderBy(F.desc("chi"), "bucket").limit(most).select("bucket").collect()
     return np.array(sorted(r[0] for r in rows), np.int64)
 
 
@@ -136,6 +136,7 @@ def fit(sample: DataFrame) -> Model | None:
     sample = store(sample)  # bounded; read three times
     n, positive = sample.agg(F.count("*"), F.sum((F.col("y") > 0).cast("long"))).first()
     if not n or not 0 < positive < n:
+        drop(sample)
         return None
     kept = telling_features(sample, n, positive)
     place = np.full(1 << BITS, -1, np.int32)
@@ -151,7 +152,7 @@ def fit(sample: DataFrame) -> Model | None:
                 rows = [(feature[a:b].astype(np.int32).tobytes(), sentence[a:b].astype(np.int32).tobytes()) for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array(np.bincount(doc, minlength=j - i)), batch.column(1).slice(i, j - i)], ["f", "s", "n", "y"])
 
-    got = sample.mapInArrow(run, "f binary, s binary, n long, y double").limit(2 * SAMPLE_ROWS).repartition(1).collect()
+    got = sample.mapInArrow(run, "f binary, s binary, n long, y double").orderBy(F.xxhash64("f", "s", "n", "y"), "f", "s", "n", "y").limit(2 * SAMPLE_ROWS).collect()  # more only if ids repeat
     drop(sample)
     got.sort(key=lambda r: (bytes(r["f"]), r["n"], r["y"]))
     feature, sentence, doc, plain, base = [], [], [], [], 0

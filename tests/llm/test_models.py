@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -38,6 +39,22 @@ def test_language(spark, texts):
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
+def test_decoding_against_a_plain_version():
+    """Bit by bit: logistic losses weighed by trust, softmax over languages, the gap to the second."""
+    rng = np.random.default_rng(2)
+    for k in (2, 3, 5, 9):
+        code = language_id.codewords(k)
+        m = language_id.Model([str(i) for i in range(k)], code, rng.normal(size=(12, code.shape[1])), rng.normal(size=code.shape[1]), rng.random(code.shape[1]), 4.0)
+        x = rng.normal(size=(30, 12))
+        best, top, gap = m.decode(x)
+        for row in range(30):
+            margins = [sum(x[row, i] * m.weights[i, j] for i in range(12)) + m.bias[j] for j in range(code.shape[1])]
+            loss = [sum(t * math.log1p(math.exp(-3 * f * c)) for f, c, t in zip(margins, word, m.trust)) for word in code]
+            p = [math.exp(-4 * (z - min(loss))) for z in loss]
+            p = sorted(((q / sum(p), i) for i, q in enumerate(p)), reverse=True)
+            assert best[row] == p[0][1] and top[row] == pytest.approx(p[0][0]) and gap[row] == pytest.approx(p[0][0] - p[1][0])
+
+
 def test_many_languages(spark, texts, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
     rows = [*texts, *((2000 + i, said(random.Random(i), "zz"), f"rare{i}") for i in range(20))]
@@ -74,6 +91,42 @@ def test_quality(spark, texts):
     assert np.mean([out[i]["predicted"] == y for i, _, y in held]) > 0.97
 
 
+def plain_statistics(text):
+    raw, words, lines = text.encode(), text.encode().split(), [x for x in text.encode().split(b"\n") if x]
+    part = lambda a, b: a / max(b, 1)
+    most = lambda xs: max(map(xs.count, xs), default=0)
+    count = lambda s: sum(c in s for c in raw)
+    upper, lower, digit, stop = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b".,;:?!'\"()-"
+    head, tail = bytes(range(192, 256)), bytes(range(128, 192))
+    mark = bytes(set(range(128)) - set(upper + lower + digit + stop + b" \t\x0b\x0c\r\n"))
+    chars, n = len(raw) - count(tail), len(words)
+    soft = [bytes(c + 32 if c in upper else c for c in w) for w in words]
+    runs = [tuple(soft)] if 0 < n < 3 else [tuple(soft[i : i + 3]) for i in range(n - 2)]
+    size = [len(w) for w in words]
+    mean = part(sum(size), n)
+    has = lambda w, s: sum(c in s for c in w)
+    low = lower + head + tail
+    loglen = [math.log1p(len(x)) for x in lines]
+    m = part(sum(loglen), len(lines))
+    return [
+        math.log1p(chars), math.log1p(n), mean, math.sqrt(max(part(sum(s * s for s in size), n) - mean**2, 0)),
+        part(count(upper), chars), part(count(digit), chars), part(count(b" \t\x0b\x0c\r"), chars), part(count(b"\n"), chars), part(count(stop), chars), part(count(mark), chars), part(count(head), chars),
+        part(sum(has(w, mark) > 0 for w in words), n), part(sum(has(w, upper) > 1 and has(w, low) == 0 for w in words), n), part(sum(has(w, upper) + has(w, low) == 0 for w in words), n), part(sum(s <= 3 for s in size), n), part(sum(s >= 16 for s in size), n),
+        part(len(set(soft)), n), part(most(soft), n), part(len(set(runs)), len(runs)), part(most(runs), len(runs)),
+        math.log1p(len(lines)), part(n, len(lines)), math.sqrt(max(part(sum(x * x for x in loglen), len(lines)) - m**2, 0)), part(len(set(lines)), len(lines)), part(most(lines), len(lines)), part(sum(len(x) < 20 for x in lines), len(lines)),
+    ]
+
+
+def test_statistics_against_a_plain_version():
+    rng = random.Random(8)
+    texts = ["", "a", "\n", "Ab cD\n\nAb cD EF", "né 漢字!! 12,5 $x$", "x" * 50] + ["".join(rng.choice("abAB1 .,#\n\té") for _ in range(rng.randrange(200))) for _ in range(60)]
+    raw = [t.encode() for t in texts]
+    got = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]))
+    assert got.shape == (len(texts), quality.FEATURES)
+    for row, text in zip(got, texts):
+        assert row.tolist() == pytest.approx(plain_statistics(text), abs=1e-9), text
+
+
 def test_quality_messy(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (7, 0), (9, None)], "doc_id long, quality int")
     for docs, n in ((messy(spark), 12), (messy(spark).limit(0), 0)):
@@ -120,6 +173,36 @@ def test_toxicity(spark, texts):
             assert found and any("wretch" in (s := text.encode()[x["first_byte"] :].decode().split(".")[0]) or "vermin" in s for x in found)
 
 
+def test_sentences_and_noisy_or_against_plain_versions():
+    texts = ["One two. Three! four?\n\nfive", "", "...", "no end here", "a.b c? d"]
+    raw = [t.encode() for t in texts]
+    off = np.cumsum([0] + [len(x) for x in raw])
+    bucket, sentence, doc, begin = toxicity.sentences(np.frombuffer(b"".join(raw), np.uint8), off)
+    joined = b"".join(raw)
+    assert [(int(d), joined[b : b + 4].decode()) for d, b in zip(doc, begin)] == [(0, "One "), (0, "Thre"), (0, "four"), (0, "five"), (3, "no e"), (4, "a.b "), (4, "b c?"), (4, "d")]
+    assert np.bincount(sentence).tolist() == [2, 3, 2, 2, 3 + 1, 1, 2, 1]  # words, and beginnings of those over 3 bytes
+    z, of = np.array([-2.0, 0.5, -30.0, 3.0]), np.array([0, 0, 1, 3])
+    p = 1 / (1 + np.exp(-z))
+    want = [1 - (1 - p[0]) * (1 - p[1]), p[2], 0.0, p[3]]
+    assert toxicity.noisy_or(z, of, 4).tolist() == pytest.approx(want, abs=1e-12)
+
+
+def test_training_climbs_the_noisy_or_likelihood():
+    """One feature only in positive documents gets a positive weight; the likelihood beats the base rate's."""
+    rng = np.random.default_rng(4)
+    y = (np.arange(200) % 4 == 0).astype(float)
+    doc = np.repeat(np.arange(200), 2)
+    feature, sentence = [], []
+    for s, d in enumerate(doc):
+        feature.append(0 if y[d] and s % 2 == 0 else int(rng.integers(1, 6)))
+        sentence.append(s)
+    model = toxicity.train(np.arange(6), np.array(feature), np.array(sentence), doc, np.ones(200), y)
+    z = model.bias + model.weights[np.array(feature)]
+    p = np.clip(1 - np.exp(-np.bincount(doc, np.logaddexp(0, z)) - np.logaddexp(0, model.bias)), 1e-9, 1 - 1e-9)
+    fit = (y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+    assert model.weights[0] > 1 > model.weights[1:6].max() and fit > 0.25 * np.log(0.25) + 0.75 * np.log(0.75) + 0.3
+
+
 def test_toxicity_messy(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (7, 0), (9, None)], "doc_id long, toxic int")
     for docs, n in ((messy(spark), 12), (messy(spark).limit(0), 0)):

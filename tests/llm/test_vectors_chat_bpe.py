@@ -68,6 +68,21 @@ def test_multi_index(spark):
     assert np.mean([len(want[q].keys() & {x[1] for x in got[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_multi_index_ties(spark):
+    """Equal vectors score equally wherever they lie, and the smaller ids are kept."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 33))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    rows = [(i, base[i % 40].tolist()) for i in range(1200)]
+    got = [tuple(r)[:3] for r in ann.nearest_neighbours(table(spark, rows), recall=1.0).orderBy("query_id", "rank").collect()]
+    want = {(q, i) for q, _, i, _ in brute.top(rows, {i for i, _ in rows if i % 20 == 0}, 20)}
+    assert {(q, i) for q, _, i in got} == want
+    for q in range(0, 1200, 20):
+        assert [i for p, _, i in got if p == q] == [i for i in range(q % 40, 1200, 40) if i != q][:20]
+    places, score = ann.best_exact(base[[3, 7, 3, 3, 9]], np.array([5, 1, 4, 9, 2]), base[3], 2)
+    assert places.tolist() == [2, 0] and score[0] == score[1] == sum(x * x for x in base[3])
+
+
 def test_multi_index_few_rows_and_copies(spark):
     rows = [(i, [1.0, float(i)]) for i in (0, 20, 3)]
     got = {(r["query_id"], r["vec_id"]) for r in ann.nearest_neighbours(table(spark, rows)).collect()}
@@ -100,6 +115,29 @@ def test_chat(spark):
     assert chat.read_back(chat.expand(turns.limit(0))).collect() == []
 
 
+def test_chat_without_replies_and_without_ids(spark, monkeypatch):
+    """Conversations without an assistant are sent in batches too; turns without a conversation stand alone."""
+    turns = [(c, t, "user", f"{c} says {t}") for c in range(300) for t in range(2)]
+    batch = chat.pa.RecordBatch.from_arrays([chat.pa.array(x) for x in zip(*turns)], ["conv_id", "turn", "role", "text"])
+    monkeypatch.setattr(chat, "BATCH_CHARS", 1_000)
+    out = list(chat._expand(iter([batch])))
+    assert len(out) > 10 and sum(b.num_rows for b in out) == 300
+    assert max(sum(len(x) for x in b.column(2).to_pylist()) for b in out) < 1_200
+    alone = spark.createDataFrame([(None, 1, "user", "a"), (None, 2, "assistant", "b"), (None, 2, "assistant", "b"), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.expand(alone)).collect()
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in got) == [(1, 0), (1, 0), (1, 1), (1, 1)]
+
+
+def test_chat_read_back_reads_contexts(spark):
+    said = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(6)]
+    ex = chat.expand(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    assert chat.read_back(ex).count() == 1
+    broken = [("formatted", F.when(F.col("example") == 1, F.replace("formatted", F.lit("turn 0"), F.lit("turn x"))).otherwise(F.col("formatted"))), ("loss_start", F.col("loss_start") + 1)]
+    for column, value in broken:
+        with pytest.raises(Exception, match="another context|under its mask"):
+            chat.read_back(ex.withColumn(column, value)).collect()
+
+
 @lru_cache
 def library():
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load(PATH, PATTERN).ranks, special_tokens={})
