@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.llm import bpe, language_id, line_dedup, mixing, near_duplicates
-from linkweave.llm._scratch import store
+from linkweave.llm._scratch import drop, store, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -83,5 +83,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir))
+        before = docs
+        with temporary() as keep:
+            docs = keep(store(stage(spark, before, sf_dir)))
+        drop(before)
     return docs
