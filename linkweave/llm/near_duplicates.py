@@ -32,6 +32,8 @@ PRIOR, POSTING, SHIP = 0.05, 10.0, 3.0
 #: Postings a token partition holds on average, tokens a verification block holds, postings a task
 #: collects before it sends them, classes a list of one token has undivided.
 PART_POSTINGS, BLOCK_TOKENS, FLUSH, RUN = 1_000_000, 100_000, 300_000, 512
+#: Documents of one token by the sketch, beyond which its postings are dealt into pairs of blocks before they are sent.
+HOT_POSTINGS = 500_000
 #: A bitmap of candidate documents is broadcast up to this many bits (16 MB); beyond, a join selects them.
 BITMAP_BITS = 1 << 27
 
@@ -134,23 +136,48 @@ def choose_match(kind: np.ndarray, start: np.ndarray, n: np.ndarray, need: np.nd
     return ell, length
 
 
-def _postings(size: int, percent: int, bits: int, order: np.ndarray, excess: np.ndarray, parts: int):
+def deal(token: np.ndarray, of: np.ndarray, cls: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, text number, side) of postings whose tokens have ``split`` blocks of classes.
+
+    A token of several blocks becomes one token for each pair of blocks, so that no task
+    has to hold all its classes.  A class goes to the pairs with its block i: as side 0
+    where both blocks are i, else as side 1 or 2, and then meets the other side only.
+    """
+    hot = split > 1
+    if not hot.any():
+        return token, of, np.zeros(len(token), np.uint8)
+    times = split[hot]
+    mine = np.repeat((B.mix(cls[of[hot]]) % times.astype(U)).astype(np.int64), times)
+    other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    wide = np.repeat(times, times)
+    cell = np.minimum(mine, other) * wide + np.maximum(mine, other)
+    named = B.mix(np.repeat(token[hot], times) + U(0x9E3779B97F4A7C15) * (cell.astype(U) + U(1)))
+    side = np.where(mine == other, 0, np.where(mine < other, 1, 2)).astype(np.uint8)
+    text = np.concatenate([of[~hot], np.repeat(of[hot], times)])
+    by = np.argsort(text, kind="stable")
+    return np.concatenate([token[~hot], named])[by], text[by], np.concatenate([np.zeros(int((~hot).sum()), np.uint8), side])[by]
+
+
+def _postings(size: int, percent: int, bits: int, order: np.ndarray, excess: np.ndarray, parts: int, hot: int):
+    seen_by = 2.0 ** (np.arange(256) / 8) - 1
+    split = np.where(seen_by > hot, 1 << np.ceil(np.log2(np.maximum(1, 2 * seen_by / hot))).astype(np.int64), 1)
+
     def flush(pile: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        token, cls, n, ell = (np.concatenate([x[k] for x in pile]) for k in (0, 2, 3, 4))
+        token, side, cls, n, ell = (np.concatenate([x[k] for x in pile]) for k in (0, 5, 2, 3, 4))
         before = np.cumsum([0] + [len(x[2]) for x in pile])
         row = np.concatenate([x[1] + b for x, b in zip(pile, before)])
         part = (((token >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
         by = np.argsort(part.astype(np.uint16) if parts <= 65_536 else part, kind="stable")
-        token, row, part = token[by], row[by], part[by]
+        token, row, part, side = token[by], row[by], part[by], side[by]
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for lo, hi in zip(cut[:-1], cut[1:]):
             rows = row[lo:hi]
             runs = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1], True])
             mine = rows[runs[:-1]]
-            for k, v in enumerate((int(part[lo]), token[lo:hi].tobytes(), np.diff(runs).astype(np.int32).tobytes(), cls[mine].tobytes(), n[mine].astype(np.int32).tobytes(), ell[mine].astype(np.int32).tobytes())):
+            for k, v in enumerate((int(part[lo]), token[lo:hi].tobytes(), np.diff(runs).astype(np.int32).tobytes(), cls[mine].tobytes(), n[mine].astype(np.int32).tobytes(), ell[mine].astype(np.int32).tobytes(), side[lo:hi].tobytes())):
                 out[k].append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(x, pa.binary()) for x in out[1:]], ["part", "token", "cnt", "cls", "n", "ell"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(x, pa.binary()) for x in out[1:]], ["part", "token", "cnt", "cls", "n", "ell", "side"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # one entry a class of this task's split
@@ -176,8 +203,9 @@ def _postings(size: int, percent: int, bits: int, order: np.ndarray, excess: np.
                 start = np.concatenate([[0], np.cumsum(n)])[:-1]
                 ell, length = choose_match(kind, start, n, (percent * n + 99) // 100, excess)
                 inside = np.arange(len(h)) - start[of] < length[of]
-                pile.append((h[inside], of[inside], cls, n, ell))
-                held += int(inside.sum())
+                token, text, side = deal(h[inside], of[inside], cls, split[kind[inside]])
+                pile.append((token, text, cls, n, ell, side))
+                held += len(token)
                 if held > FLUSH:
                     yield flush(pile)
                     pile, held = [], 0
@@ -199,41 +227,45 @@ def _runs(longest: int):
     A list goes by its smallest class, so the lists of a group of similar sets meet
     in one place whatever partitions their tokens were in.  A list longer than
     ``longest`` is dealt into blocks by class; pairs of blocks go their own ways, and
-    ``cut`` says where the second block begins.
+    ``cut`` says where the second block begins.  A list of two sides (see ``deal``) is
+    such a pair from the start.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[] for _ in range(5)]
+        got: list[list[np.ndarray]] = [[] for _ in range(6)]
         for batch in batches:
-            for k, kind in enumerate((np.uint64, np.int32, np.int64, np.int32, np.int32)):
+            for k, kind in enumerate((np.uint64, np.int32, np.int64, np.int32, np.int32, np.uint8)):
                 got[k] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k + 1)]
         if not got[0]:
             return
-        token, cnt, cls, n, ell = (np.concatenate(x) for x in got)
+        token, cnt, cls, n, ell, side = (np.concatenate(x) for x in got)
         del got
         names, at, index = np.unique(cls, return_index=True, return_inverse=True)
         n, ell = n[at], ell[at]
         who = np.repeat(index.astype(np.int32), cnt)
         by = np.argsort(token)
-        token, who = token[by], who[by]
+        token, who, side = token[by], who[by], side[by]
         same = token[1:] == token[:-1]
         several = np.r_[same, False] | np.r_[False, same]
-        token, who = token[several], who[several]
-        by = np.lexsort((who, n[who], token))
-        token, who = token[by], who[by]
+        token, who, side = token[several], who[several], side[several]
+        by = np.lexsort((who, n[who], side, token))
+        token, who, side = token[by], who[by], side[by]
         if len(token):
             keep = np.r_[True, (token[1:] != token[:-1]) | (who[1:] != who[:-1])]
-            token, who = token[keep], who[keep]
+            token, who, side = token[keep], who[keep], side[keep]
         cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]) if len(token) else np.zeros(1, np.int64)
         size = np.diff(cut)
-        cut, size = cut[:-1][size > 1], size[size > 1]
+        cut = cut[:-1]
+        ones = np.add.reduceat(side == 1, cut) if len(cut) else size
+        good = (size > 1) & ((side[cut] == 0) | ((ones > 0) & (ones < size)))
+        cut, size, ones = cut[good], size[good], ones[good]
         if not len(cut):
             return
         inside = np.repeat(cut - np.cumsum(size) + size, size) + np.arange(size.sum())
-        who, first = who[inside], np.cumsum(size) - size
-        print_of = np.add.reduceat(B.mix(names[who].view(np.uint64)), first)
+        who, side, first = who[inside], side[inside], np.cumsum(size) - size
+        print_of = np.add.reduceat(B.mix(names[who].view(np.uint64) + _SIDES[side]), first)
         _, at, times = np.unique(print_of, return_index=True, return_counts=True)
-        first, size = first[at], size[at]
+        first, size, ones = first[at], size[at], ones[at]
         short = np.flatnonzero(size <= longest)
         for lo in range(0, len(short), 20_000):
             some = short[lo : lo + 20_000]
@@ -242,19 +274,23 @@ def _runs(longest: int):
             ends = np.cumsum(k)
             low = np.minimum.reduceat(names[flat], ends - k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(low), pa.array(times[some]), pa.array(np.zeros(len(some), np.int32)), _binary(names[flat], ends), _binary(n[flat], ends), _binary(ell[flat], ends)], _RUN_NAMES
+                [pa.array(low), pa.array(times[some]), pa.array(ones[some].astype(np.int32)), _binary(names[flat], ends), _binary(n[flat], ends), _binary(ell[flat], ends)], _RUN_NAMES
             )
         for r in np.flatnonzero(size > longest):
             own = who[first[r] : first[r] + size[r]]
             blocks = 1 << int(np.ceil(np.log2(2 * size[r] / longest)))
-            place = (B.mix(names[own].view(np.uint64)) % U(blocks)).astype(np.int64)
-            parts, low = [own[place == i] for i in range(blocks)], int(names[own].min())
-            for i in range(blocks):
-                for j in range(i, blocks):
-                    if not len(parts[i]) or not len(parts[j]):
-                        continue
+            place = (B.mix(names[own].view(np.uint64) + U(1)) % U(blocks)).astype(np.int64)
+            low, two = int(names[own].min()), side[first[r] : first[r] + size[r]] == 2
+            if ones[r]:  # blocks of one side with blocks of the other
+                parts = [own[(place == i) & ~two] for i in range(blocks)] + [own[(place == i) & two] for i in range(blocks)]
+                pairs = [(i, j) for i in range(blocks) for j in range(blocks, 2 * blocks)]
+            else:
+                parts = [own[place == i] for i in range(blocks)]
+                pairs = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+            for i, j in pairs:
+                if len(parts[i]) and len(parts[j]):
                     mine = parts[i] if i == j else np.concatenate([parts[i], parts[j]])
-                    key = int(B.mix(np.array([low], np.int64).view(np.uint64) + U(i * blocks + j)).view(np.int64)[0])
+                    key = int(B.mix(np.array([low], np.int64).view(np.uint64) + U(2 * i * blocks + j)).view(np.int64)[0])
                     ends = np.array([len(mine)])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([key]), pa.array([int(times[r])]), pa.array([0 if i == j else len(parts[i])], pa.int32()), _binary(names[mine], ends), _binary(n[mine], ends), _binary(ell[mine], ends)], _RUN_NAMES
@@ -263,6 +299,8 @@ def _runs(longest: int):
     return run
 
 
+#: Sets the prints of lists with sides apart.
+_SIDES = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 _RUN_NAMES = ["key", "times", "cut", "cls", "n", "ell"]
 
 
@@ -399,7 +437,7 @@ def _candidate_bitmap(ids: DataFrame, n: int) -> tuple[np.ndarray | None, int]:
 
 
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 70, sketch_bits: int = 20, longest_list: int = RUN
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 70, sketch_bits: int = 20, longest_list: int = RUN, hot_postings: int = HOT_POSTINGS
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, class_id, n_similar, component_id,
     component_class, text_hash.
@@ -417,7 +455,7 @@ def similar_documents(
     separate documents.  Other columns are not read.
     """
     with temporary() as keep:
-        rows, facts = _groups(docs, id_col, text_col, size, percent, sketch_bits, longest_list)
+        rows, facts = _groups(docs, id_col, text_col, size, percent, sketch_bits, longest_list, hot_postings)
         facts = keep(store(facts))
         keep(rows)
     rows = rows.filter("n is not null").select("id", "cls", "n", "h")
@@ -428,7 +466,7 @@ def similar_documents(
     )
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, sketch_bits: int, longest_list: int) -> tuple[DataFrame, DataFrame]:
+def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, sketch_bits: int, longest_list: int, hot_postings: int) -> tuple[DataFrame, DataFrame]:
     """The stored scan of all rows, and (cls, n_similar, component_id, root) of the classes that link or have copies."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     hashed = base.withColumn("h", F.xxhash64("text"))
@@ -442,7 +480,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     tokens = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(tokens * (100 - percent) / 100 / PART_POSTINGS))
     postings = base.select("text").mapInArrow(
-        B.lean(_postings(size, percent, sketch_bits, order, excess, parts)), "part int, token binary, cnt binary, cls binary, n binary, ell binary"
+        B.lean(_postings(size, percent, sketch_bits, order, excess, parts, hot_postings)), "part int, token binary, cnt binary, cls binary, n binary, ell binary, side binary"
     )
     runs = postings.repartitionById(parts, F.col("part")).mapInArrow(B.lean(_runs(longest_list)), "key long, times long, cut int, cls binary, n binary, ell binary")
     pairs = runs.repartition("key").sortWithinPartitions("key").mapInArrow(B.lean(_pairs(percent)), "a long, b long, shared long, least long, na long, nb long")

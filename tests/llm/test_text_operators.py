@@ -1,12 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from linkweave.llm.line_dedup import dedup_lines
 from linkweave.llm.mixing import mix, plan
-from linkweave.llm.near_duplicates import similar_documents
+from linkweave.llm.near_duplicates import deal, similar_documents
 from tests.llm import brute
 
 CLASHING = "id long, cls long, n long, h long, part int, token string, score double, lang_pred string, mix_epoch int, n_lines string, token_ids string, source string"
@@ -35,9 +36,9 @@ def corpus():
     return rows + [(300, "Ein Wort"), (301, "ein wort"), (302, "wort ein")]
 
 
-@pytest.mark.parametrize("longest", [3, 512])
-def test_similar_documents(spark, corpus, longest):
-    out = similar_documents(spark.createDataFrame(corpus, "doc_id long, text string"), longest_list=longest)
+@pytest.mark.parametrize("longest, hot", [(3, 500_000), (512, 500_000), (512, 3), (3, 6)])
+def test_similar_documents(spark, corpus, longest, hot):
+    out = similar_documents(spark.createDataFrame(corpus, "doc_id long, text string"), longest_list=longest, hot_postings=hot)
     got = sorted(tuple(r[c] for c in ("doc_id", "n_shingles", "n_similar", "component_id")) for r in out.collect())
     assert got == sorted(brute.similar(corpus))
     assert any(n > 1 for _, _, n, _ in got)
@@ -52,6 +53,24 @@ def test_similar_documents_messy(spark):
     assert similar_documents(messy(spark).limit(0)).collect() == []
 
 
+def test_hot_tokens_are_dealt():
+    """Every pair of classes of a token meets in exactly one cell; a cell holds two blocks of them."""
+    rng = np.random.default_rng(3)
+    cls = rng.integers(1, 1 << 62, 200, dtype=np.uint64)
+    token, of = np.full(200, 77, np.uint64), np.arange(200)
+    name, text, side = deal(token, of, cls, np.full(200, 8))
+    met = {}
+    for t in set(name.tolist()):
+        own = [(int(a), int(b)) for a, b in zip(text[name == t], side[name == t])]
+        for a, sa in own:
+            for b, sb in own:
+                if a < b and (sa == sb == 0 or {sa, sb} == {1, 2}):
+                    met[a, b] = met.get((a, b), 0) + 1
+        assert len(own) < 90
+    assert met == {(a, b): 1 for a in range(200) for b in range(a + 1, 200)}
+    assert deal(token, of, cls, np.ones(200, np.int64))[0] is token
+
+
 def lines_corpus():
     rng = random.Random(2)
     pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 4))) for _ in range(12)]
