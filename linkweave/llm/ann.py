@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -78,23 +78,30 @@ class MultiIndex:
     def cells(self, x: np.ndarray) -> np.ndarray:
         return nearest(x[:, : self.cut], self.first) * len(self.second) + nearest(x[:, self.cut :], self.second)
 
-    def walk(self, q: np.ndarray, counts: np.ndarray, enough: float) -> list[int]:
-        """Cells in descending order of summed inner products, until they hold ``enough`` rows."""
+    def walk(self, q: np.ndarray, counts: np.ndarray, enough: float) -> np.ndarray:
+        """Cells in descending order of summed inner products, until they hold ``enough`` rows.
+
+        The heap has one entry for each centroid of the first half: its next pair, of
+        the second half's in their order, whose cell isn't empty.
+        """
         a, b = self.first @ q[: self.cut], self.second @ q[self.cut :]
         by_a, by_b = np.argsort(-a), np.argsort(-b)
-        a, b, by_a, by_b = (-a[by_a]).tolist(), (-b[by_b]).tolist(), by_a.tolist(), by_b.tolist()
-        heap, held, out, width = [(a[0] + b[0], 0, 0)], 0, [], len(by_b)
-        while heap and held < enough:
-            _, i, j = heappop(heap)
-            cell = by_a[i] * width + by_b[j]
-            if counts[cell]:
-                out.append(cell)
-                held += counts[cell]
-            if j + 1 < width:
-                heappush(heap, (a[i] + b[j + 1], i, j + 1))
-            if j == 0 and i + 1 < len(by_a):
-                heappush(heap, (a[i + 1] + b[0], i + 1, 0))
-        return out
+        table = counts.reshape(len(a), len(b))[by_a][:, by_b]
+        i, j = np.nonzero(table)
+        held, total = table[i, j].tolist(), (-a[by_a[i]] - b[by_b[j]]).tolist()
+        ends = np.searchsorted(i, np.arange(len(a)), "right").tolist()
+        heap = [(total[p], p, end) for p, end in zip([0, *ends[:-1]], ends) if p < end]
+        heapify(heap)
+        out, have = [], 0
+        while heap and have < enough:
+            _, p, end = heap[0]
+            out.append(p)
+            have += held[p]
+            if p + 1 < end:
+                heapreplace(heap, (total[p + 1], p + 1, end))
+            else:
+                heappop(heap)
+        return by_a[i[out]] * len(b) + by_b[j[out]] if out else np.zeros(0, np.int64)
 
     def needed(self, x: np.ndarray, k: int, recall: float) -> float:
         """Share of the rows to walk, so that this part of the sampled queries' true neighbours is met."""
@@ -161,7 +168,7 @@ def _visit(index: MultiIndex, counts: np.ndarray, first: np.ndarray, split: np.n
         out: list[tuple] = []
         for batch in batches:
             for who, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                walked = np.array(index.walk(np.frombuffer(raw), counts, enough), np.int32)
+                walked = index.walk(np.frombuffer(raw), counts, enough).astype(np.int32)
                 walked = walked[np.argsort(first[walked], kind="stable")]
                 one = walked[split[walked] == 1]
                 cut = np.flatnonzero(np.r_[True, np.diff(first[one]) != 0, True]) if len(one) else []
