@@ -54,6 +54,13 @@ def test_stages_messy(spark):
         assert stage(spark, docs, "").count() >= 0
         assert stage(spark, docs.limit(0), "").collect() == []
     assert corpus_pipeline.language(spark, docs.withColumn("x", F.lit(1)), "").columns == corpus_pipeline.COLUMNS
+    e = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = corpus_pipeline.tokens(spark, docs, "").collect()
+    said = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["decoded_sha256"]) for r in coded) == sorted((str(r["doc_id"]), len(e.encode_many([r["text"] or ""])[0]) // 4, said(r["text"])) for r in docs.collect())
+    mixed = [r["text"] for r in corpus_pipeline.mixture(spark, docs, "").collect()]
+    words = sum(len((t or "").split()) for t in mixed)
+    assert abs(words - 21) <= 8 and set(mixed) <= {r["text"] for r in docs.collect()}  # within half a block of each of two sources
 
 
 def test_language_decides(spark):
