@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import store
 
 HEADING = r"(?d)^(#{1,6})(?U:\s+)(.+)$"
 MODIFIERS = "abstract async export internal open override private protected pub public sealed static virtual".split()
@@ -28,19 +29,24 @@ LIBRARY = sorted(
 )
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """(path, pos, line), pos from 0."""
-    return files.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def _split(files: DataFrame, pattern: str) -> DataFrame:
+    """``files`` with ``__parts``: (line, head, body) of each line of ``text`` that fits, with the lines up to the next that does."""
+    heads = F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("pos"), x.alias("head"))), lambda h: h["head"].rlike(pattern))
+    rows = files.withColumn("__lines", F.split("text", "\n")).withColumn("__heads", heads)
+    body = lambda h, k: F.array_join(F.slice("__lines", h["pos"] + 1, F.coalesce(F.get("__heads", k + 1)["pos"], F.size("__lines")) - h["pos"]), "\n")
+    parts = F.transform("__heads", lambda h, k: F.struct((h["pos"] + 1).alias("line"), h["head"].alias("head"), body(h, k).alias("body")))
+    return rows.withColumn("__parts", parts).drop("__lines", "__heads")
+
+
+def _parts(files: DataFrame, pattern: str) -> DataFrame:
+    """(path, line, head, body): ``_split`` as rows; a file's own row is all that is looked at."""
+    return _split(files.select("path", "text"), pattern).select("path", F.explode("__parts").alias("part")).select("path", "part.*")
 
 
 def sections(files: DataFrame) -> DataFrame:
     """(path, line, depth, heading, body): a section goes from its heading to the line before the next; text above the first heading is no section."""
-    rows = lines(files).withColumn("mark", F.regexp_extract("line", HEADING, 1))
-    w = Window.partitionBy("path").orderBy("pos")
-    rows = rows.withColumn("sec", F.sum((F.col("mark") != "").cast("int")).over(w)).filter("sec > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    out = rows.groupBy("path", "sec").agg((F.min("pos") + 1).alias("line"), F.min_by("line", "pos").alias("head"), body.alias("body"))
-    return out.select("path", "line", F.length(F.regexp_extract("head", HEADING, 1)).alias("depth"), X.strip(F.regexp_extract("head", HEADING, 2)).alias("heading"), "body")
+    depth, heading = F.length(F.regexp_extract("head", HEADING, 1)), X.strip(F.regexp_extract("head", HEADING, 2))
+    return _parts(files, HEADING).select("path", "line", depth.alias("depth"), heading.alias("heading"), "body")
 
 
 def numbered(headings: DataFrame) -> DataFrame:
@@ -96,30 +102,26 @@ def imports(path: Column, text: Column, most: int = 8) -> Column:
     return F.slice(found, 1, most)
 
 
-def function_blocks(files: DataFrame) -> DataFrame:
-    """(path, name, kind, line, body): from each definition's line to the line before the next."""
-    rows = lines(files).withColumn("name", F.regexp_extract("line", "(?d)" + DEFINITION, 1))
-    w = Window.partitionBy("path").orderBy("pos")
-    rows = rows.withColumn("block", F.sum((F.col("name") != "").cast("int")).over(w)).filter("block > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    out = rows.groupBy("path", "block").agg((F.min("pos") + 1).alias("line"), F.min_by("name", "pos").alias("name"), F.min_by("line", "pos").alias("head"), body.alias("body"))
-    left = F.regexp_replace("head", r"(?U)^\s+", "")
-    kind = F.lit(False)
+def _name_kind(head: Column) -> tuple[Column, Column]:
+    left, kind = F.regexp_replace(head, r"(?U)^\s+", ""), F.lit(False)
     for start in CLASS_LIKE:
         kind = kind | F.startswith(left, F.lit(start))
-    return out.select("path", "name", F.when(kind, "class").otherwise("function").alias("kind"), F.col("line").cast("int").alias("line"), "body")
+    return F.regexp_extract(head, "(?d)" + DEFINITION, 1).alias("name"), F.when(kind, "class").otherwise("function").alias("kind")
+
+
+def function_blocks(files: DataFrame) -> DataFrame:
+    """(path, name, kind, line, body): from each definition's line to the line before the next."""
+    return _parts(files, "(?d)" + DEFINITION).select("path", *_name_kind(F.col("head")), "line", "body")
 
 
 def code_rows(files: DataFrame) -> DataFrame:
-    """Code candidates of source files (path, text, ord), in the layout ``schema.CODES``."""
-    block = F.struct("name", "kind", "line", X.hash16(F.col("body")).alias("body_hash"), (X.line_breaks(F.col("body")) + 1).alias("body_lines"), X.preview(F.col("body")).alias("body_preview"))
-    blocks = function_blocks(files).select("path", F.struct(F.col("line").alias("l"), block.alias("b")).alias("x")).groupBy("path").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]).alias("functions"))
-    rows = files.join(blocks, "path", "left")
+    """Code candidates of source files (path, text, ord), in the layout ``schema.CODES``; each file's row makes its own."""
+    block = lambda p: F.struct(*_name_kind(p["head"]), p["line"].alias("line"), X.hash16(p["body"]).alias("body_hash"), (X.line_breaks(p["body"]) + 1).alias("body_lines"), X.preview(p["body"]).alias("body_preview"))
     empty = F.array().cast("array<struct<name:string,kind:string,line:int,body_hash:string,body_lines:int,body_preview:string>>")
     path, text = F.col("path"), F.col("text")
-    return rows.select(
+    return _split(files, "(?d)" + DEFINITION).select(
         F.col("ord").cast("long").alias("ord"), path.alias("file"), X.module_name(path).alias("module"), symbols(text).alias("symbols"), X.is_test(path).alias("is_test"), X.language(path).alias("language"),
-        imports(path, text).alias("imports"), (X.line_breaks(text) + 1).alias("line_count"), F.coalesce("functions", empty).alias("functions"), X.hash16(text).alias("file_hash"),
+        imports(path, text).alias("imports"), (X.line_breaks(text) + 1).alias("line_count"), F.coalesce(F.transform("__parts", block), empty).alias("functions"), X.hash16(text).alias("file_hash"),
     )
 
 
@@ -142,16 +144,18 @@ def hierarchy(items: DataFrame) -> DataFrame:
     """``items`` (file, id, title, parent) with depth and parent_chain of titles.
 
     An unknown parent gives depth 1 and its own id as the chain; a cycle ends where it
-    closes.  Depth grows by joins, as many as the deepest chain is long.
+    closes.  Depth grows by joins, as many as the deepest chain is long; each level is
+    stored, so a deep hierarchy computes none twice.
     """
     known = items.select(F.col("file").alias("pf"), F.col("id").alias("pid"))
     rows = items.join(known, (F.col("file") == F.col("pf")) & (F.col("parent") == F.col("pid")), "left")
     top = rows.filter("pid is null").select("file", "id", "title", F.when(F.coalesce("parent", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array("parent")).alias("parent_chain"), F.lit(1).alias("depth"))
     below = rows.filter("pid is not null").select("file", "id", "title", "parent")
-    done, level, n = top, top, 1
+    level = store(top)
+    done, n = level, 1
     while True:
         up = level.select(F.col("file").alias("uf"), F.col("id").alias("uid"), F.col("title").alias("utitle"), F.col("parent_chain").alias("uchain"))
-        level = below.join(up, (F.col("file") == F.col("uf")) & (F.col("parent") == F.col("uid"))).select("file", "id", "title", F.array_append("uchain", F.col("utitle")).alias("parent_chain"), F.lit(n + 1).alias("depth"))
+        level = store(below.join(up, (F.col("file") == F.col("uf")) & (F.col("parent") == F.col("uid"))).select("file", "id", "title", F.array_append("uchain", F.col("utitle")).alias("parent_chain"), F.lit(n + 1).alias("depth")))
         if level.isEmpty():
             break
         n += 1

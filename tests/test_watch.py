@@ -16,6 +16,13 @@ def test_batch(spark):
     assert throttled(df.limit(0), "k", "ts", 10, "n").isEmpty()
 
 
+def test_batch_of_many_keys_null_keys_and_null_times(spark):
+    rows = [(k, None if s is None else T0 + dt.timedelta(seconds=s), n) for n, (k, s) in enumerate((k, s) for k in ["x", "y", None] for s in [None, 0, 0, 3, 10, 10, 12, 20, 31])]
+    out = throttled(spark.createDataFrame(rows, "k string, ts timestamp_ntz, n int"), "k", "ts", 10, "n")
+    assert sorted(r["n"] for r in out.collect()) == [9 * k + n for k in range(3) for n in (1, 4, 7, 8)]
+    assert throttled(spark.createDataFrame(rows, "k string, ts timestamp_ntz, n int"), "k", "ts", 0, "n").count() == 24
+
+
 def test_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
