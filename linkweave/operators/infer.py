@@ -15,23 +15,41 @@ from .graph import ranked
 from .substring import inside_pairs
 
 LEAST_CONFIDENCE, WEAK_BELOW = 0.15, 0.4
+#: Codes of one token that meet specs in one partition.
+HOT = 50_000
 
 
-def token_pairs(specs: DataFrame, codes: DataFrame) -> DataFrame:
-    """(spec_id, code_id, n_symbol, n_stem, symbol_tokens, stem_tokens): pairs that share a token.
+def _token_rows(specs: DataFrame, codes: DataFrame) -> DataFrame:
+    """(spec_id, code_id, token, in_text, in_stem): a row for each token that a pair shares.
 
-    ``specs`` has (spec_id, tokens), ``codes`` (code_id, tokens, stem_tokens).  Hot
-    tokens make skewed join partitions, which adaptive execution splits.
+    A token of more than ``HOT`` codes is dealt into parts by code, and the specs that
+    have it meet each part by itself.  The hot tokens are few, at most a ``HOT``-th of
+    all token rows, and are joined as their number tells.
     """
     s = specs.select("spec_id", F.explode("tokens").alias("token"))
     c = codes.select("code_id", F.explode(F.array_union("tokens", "stem_tokens")).alias("token"), "tokens", "stem_tokens")
     c = c.select("code_id", "token", F.array_contains("tokens", F.col("token")).alias("in_text"), F.array_contains("stem_tokens", F.col("token")).alias("in_stem"))
+    hot = c.groupBy("token").count().filter(F.col("count") > HOT).select("token", F.ceil(F.col("count") / HOT).alias("parts"))
+    s = s.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    c = c.join(hot, "token", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("code_id"), "parts")))
+    return s.drop("parts").join(c.drop("parts"), ["token", "part"]).select("spec_id", "code_id", "token", "in_text", "in_stem")
+
+
+def _overlaps(rows: DataFrame) -> DataFrame:
     first = lambda flag: F.slice(F.array_sort(F.collect_set(F.when(F.col(flag), F.col("token")))), 1, 5)
-    return s.join(c, "token").groupBy("spec_id", "code_id").agg(
+    return rows.groupBy("spec_id", "code_id").agg(
         F.count_if("in_text").alias("n_symbol"), F.count_if("in_stem").alias("n_stem"), first("in_text").alias("symbol_tokens"), first("in_stem").alias("stem_tokens")
     )
 
 
+def token_pairs(specs: DataFrame, codes: DataFrame) -> DataFrame:
+    """(spec_id, code_id, n_symbol, n_stem, symbol_tokens, stem_tokens): pairs that share a token.
+
+    ``specs`` has (spec_id, tokens), ``codes`` (code_id, tokens, stem_tokens).
+    """
+    return _overlaps(_token_rows(specs, codes))
+
+
 def dir_pairs(specs: DataFrame, codes: DataFrame, partial: bool) -> DataFrame:
     """(spec_id, code_id) with the same top directory, or (partial) with one's name inside the other's.
 
@@ -58,10 +76,16 @@ def stem_pairs(specs: DataFrame, codes: DataFrame) -> DataFrame:
     return s.join(near, "ss").join(c, "cs").select("spec_id", "code_id")
 
 
-def candidates(specs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Pairs that the graph builder scores: shared token, equal or similar top directory."""
-    pairs = token_pairs(specs, codes).select("spec_id", "code_id")
-    return pairs.union(dir_pairs(specs, codes, False)).union(dir_pairs(specs, codes, True)).distinct()
+def candidates(specs: DataFrame, codes: DataFrame, *more: DataFrame) -> DataFrame:
+    """Pairs that the graph builder scores, with what they share: those with a shared token, an equal or similar top directory, or in ``more``.
+
+    Columns are those of ``token_pairs``; one token join and one aggregation serve all.
+    """
+    rows = _token_rows(specs, codes)
+    none = {"token": F.lit(None).cast("string"), "in_text": F.lit(False), "in_stem": F.lit(False)}
+    for pairs in (dir_pairs(specs, codes, False), dir_pairs(specs, codes, True), *more):
+        rows = rows.unionByName(pairs.select("spec_id", "code_id").withColumns(none))
+    return _overlaps(rows)
 
 
 def _scaled(n: Column, size: Column, subset: Column | None = None) -> Column:
@@ -72,15 +96,14 @@ def _scaled(n: Column, size: Column, subset: Column | None = None) -> Column:
 
 
 def score(pairs: DataFrame, specs: DataFrame, codes: DataFrame) -> DataFrame:
-    """``pairs`` with the signals s_dir, s_file, s_symbol, s_keyword and confidence.
+    """``pairs`` (``candidates``) with the signals s_dir, s_file, s_symbol, s_keyword and confidence.
 
     ``specs`` has (spec_id, file, stem, tokens), ``codes`` (code_id, file, stem,
     tokens, stem_tokens).
     """
-    shared = token_pairs(specs, codes)
     s = specs.select("spec_id", top_dir(F.col("file")).alias("sdir"), F.lower("stem").alias("ss"), F.size("tokens").alias("n_spec"))
     c = codes.select("code_id", top_dir(F.col("file")).alias("cdir"), F.lower("stem").alias("cs"), F.size("tokens").alias("n_code"), F.size("stem_tokens").alias("n_stems"))
-    rows = pairs.select("spec_id", "code_id").join(shared, ["spec_id", "code_id"], "left").join(s, "spec_id").join(c, "code_id").fillna(0, ["n_symbol", "n_stem"])
+    rows = pairs.join(s, "spec_id").join(c, "code_id")
     both = (F.col("sdir") != "") & (F.col("cdir") != "")
     inside = lambda a, b: F.contains(a, F.col(b)) | F.contains(b, F.col(a))
     n, k = F.col("n_symbol"), F.col("n_stem")
@@ -136,9 +159,13 @@ def suggest(orphans: DataFrame, codes: DataFrame, top: int = 3, least: float = 0
     """(spec_id, code_id, score, rank): the best code of each spec, over all pairs that can reach ``least``.
 
     A score needs a shared token, a similar directory or a similar stem, so the union
-    of these pairs stands for the cross product.
+    of these pairs stands for the cross product.  Of equal scores the code found first
+    counts: by ``ord`` if ``codes`` has it, else by id.
     """
-    pairs = candidates(orphans, codes).union(stem_pairs(orphans, codes)).distinct()
-    rows = score(pairs, orphans, codes).filter(F.col("confidence") >= least)
-    rows = ranked(rows.withColumn("score", F.round("confidence", 3)), ["spec_id"], [F.desc("confidence"), F.asc("code_id")])
+    rows = score(candidates(orphans, codes, stem_pairs(orphans, codes)), orphans, codes).filter(F.col("confidence") >= least)
+    rows = rows.withColumn("score", F.round("confidence", 3))
+    place = [F.asc("code_id")]
+    if "ord" in codes.columns:
+        rows, place = rows.join(codes.select("code_id", "ord"), "code_id"), [F.asc("ord"), F.asc("code_id")]
+    rows = ranked(rows, ["spec_id"], [F.desc("confidence"), *place])
     return rows.filter(F.col("rank") <= top).select("spec_id", "code_id", "score", "rank")

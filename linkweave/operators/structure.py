@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -36,8 +36,12 @@ def resolve_imports(files: DataFrame) -> DataFrame:
     by_path = guesses.join(known.select("target"), "target").select("file", "import", "target", "place", F.lit(0).alias("apart"), F.lit(0).cast("long").alias("ord"))
     last = F.element_at(F.split("import", r"\."), -1)
     stems = known.select(F.col("target"), "ord", X.stem(F.col("target")).alias("stem"))
-    by_stem = wants.withColumn("stem", last).join(stems, "stem")
-    by_stem = by_stem.select("file", "import", "target", F.lit(len(tries)).alias("place"), (X.parent(F.col("file")) != X.parent(F.col("target"))).cast("int").alias("apart"), "ord")
+    # chosen once a stem, and once a stem and directory, so hot stems don't multiply
+    first = stems.groupBy("stem").agg(F.min(F.struct("ord", "target")).alias("any"))
+    near = stems.groupBy("stem", X.parent(F.col("target")).alias("dir")).agg(F.min(F.struct("ord", "target")).alias("near"))
+    by_stem = wants.select("file", "import", last.alias("stem"), X.parent(F.col("file")).alias("dir")).join(first, "stem").join(near, ["stem", "dir"], "left")
+    best_of = F.coalesce("near", "any")
+    by_stem = by_stem.select("file", "import", best_of["target"].alias("target"), F.lit(len(tries)).alias("place"), F.col("near").isNull().cast("int").alias("apart"), best_of["ord"].alias("ord"))
     best = by_path.unionByName(by_stem).groupBy("file", "import").agg(F.min_by("target", F.struct("place", "apart", "ord")).alias("target"))
     return best.filter("file <> target")
 
@@ -128,9 +132,11 @@ def traversed(seen: DataFrame, calls: DataFrame) -> DataFrame:
 
 def resolve_symbols(rows: DataFrame) -> DataFrame:
     """Call edges of imported symbols (ord, symbol, file, callees): a reference means a symbol read before or with it, exactly or as the end of ``file::symbol``."""
-    known = rows.select("ord", F.concat("file", F.lit("::"), "symbol").alias("key"), "symbol")
-    refs = rows.select("ord", F.concat("file", F.lit("::"), "symbol").alias("caller"), F.explode("callees").alias("ref"))
-    exact = refs.join(known.select(F.col("ord").alias("kord"), "key"), (F.col("ref") == F.col("key")) & (F.col("kord") <= F.col("ord"))).withColumn("tier", F.lit(0))
-    ending = refs.join(known.select(F.col("ord").alias("kord"), "key", "symbol"), (F.col("ref") == F.col("symbol")) & (F.col("kord") <= F.col("ord"))).drop("symbol").withColumn("tier", F.lit(1))
-    w = Window.partitionBy("ord", "caller", "ref").orderBy("tier", "kord")
-    return exact.unionByName(ending).withColumn("n", F.row_number().over(w)).filter("n = 1").select("caller", F.col("key").alias("callee")).distinct()
+    named = rows.select("ord", F.concat("file", F.lit("::"), "symbol").alias("key"), "symbol")
+    refs = rows.select("ord", F.concat("file", F.lit("::"), "symbol").alias("caller"), F.explode("callees").alias("ref")).distinct()
+    # the first symbol of a key, and of a name, is the one meant wherever any is read before the reference
+    exact = named.groupBy(F.col("key").alias("ref")).agg(F.min("ord").alias("eord"))
+    ending = named.groupBy(F.col("symbol").alias("ref")).agg(F.min(F.struct("ord", "key")).alias("near"))
+    found = refs.join(exact, "ref", "left").join(ending, "ref", "left")
+    callee = F.when(F.col("eord") <= F.col("ord"), F.col("ref")).when(F.col("near.ord") <= F.col("ord"), F.col("near.key"))
+    return found.select("caller", callee.alias("callee")).filter("callee is not null").distinct()
