@@ -67,28 +67,60 @@ def code_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def function_changes(before: DataFrame, after: DataFrame, by_line: bool = True) -> DataFrame:
-    """(file, name, line, old_hash, new_hash) of functions of one name (and line) whose bodies differ.
+    """(file, name, kind, line, old_hash, new_hash) of functions of one name (and line) whose bodies differ.
 
-    Without ``by_line`` the last function of a name in a file stands for the name.
+    Without ``by_line`` each later function is compared with the last earlier one of its
+    name in its file, so a function that moved is found, and one of two of a name counts.
     """
     key = ["file", "name", "line"] if by_line else ["file", "name"]
 
-    def flat(codes: DataFrame, out: str) -> DataFrame:
-        rows = codes.select("file", F.posexplode("functions").alias("at", "f")).select("file", "at", "f.name", "f.line", "f.body_hash")
-        return rows.groupBy(*key).agg(F.max_by("body_hash", "at").alias(out), *([] if by_line else [F.max_by("line", "at").alias(f"{out}_line")]))
+    def flat(codes: DataFrame) -> DataFrame:
+        return codes.select("file", F.posexplode("functions").alias("at", "f")).select("file", "at", "f.name", "f.kind", "f.line", "f.body_hash")
 
-    rows = flat(before, "old_hash").join(flat(after, "new_hash"), key).filter("old_hash <> new_hash")
-    line = F.col("line") if by_line else F.col("new_hash_line").alias("line")
-    return rows.select("file", "name", line, "old_hash", "new_hash")
+    old = flat(before).groupBy(*key).agg(F.max_by("body_hash", "at").alias("old_hash"))
+    rows = flat(after).join(old, key).filter("old_hash <> body_hash")
+    return rows.select("file", "name", "kind", "line", "old_hash", F.col("body_hash").alias("new_hash"))
 
 
 def orphan_transitions(before_ids: DataFrame, after_ids: DataFrame, before_orphans: DataFrame, after_orphans: DataFrame) -> DataFrame:
     """(id, change): ids in both snapshots that became orphans (new_orphan) or stopped being (resolved)."""
-    flag = lambda d, name: d.select("id").distinct().withColumn(name, F.lit(True))
     common = before_ids.select("id").distinct().join(after_ids.select("id").distinct(), "id", "left_semi")
-    rows = common.join(flag(before_orphans, "was"), "id", "left").join(flag(after_orphans, "now"), "id", "left")
-    change = F.when(F.col("now") & F.col("was").isNull(), "new_orphan").when(F.col("was") & F.col("now").isNull(), "resolved")
-    return rows.withColumn("change", change).filter("change is not null").select("id", "change")
+    return orphan_difference(before_orphans, after_orphans).join(common, "id", "left_semi")
+
+
+def orphan_difference(before_orphans: DataFrame, after_orphans: DataFrame) -> DataFrame:
+    """(id, change): orphans of only the later (new_orphan) or the earlier list (resolved), whether the ids are in both snapshots or not."""
+    flag = lambda d, name: d.select("id").distinct().withColumn(name, F.lit(True))
+    rows = flag(before_orphans, "was").join(flag(after_orphans, "now"), "id", "full_outer").filter("was is null or now is null")
+    return rows.select("id", F.when(F.col("was").isNull(), "new_orphan").otherwise("resolved").alias("change"))
+
+
+def snapshot_counts(before: tuple[DataFrame, DataFrame, DataFrame], after: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """(category, n) of two snapshots (specs, codes, orphans), a row for each of the eleven counters.
+
+    Specs count once an id; of a file in both snapshots each function counts whose body
+    isn't that of the last earlier function of its name.
+    """
+    (bs, bc, bo), (as_, ac, ao) = before, after
+    as_ = _by_id(as_)
+    changes = spec_changes(bs, as_).select("change")
+    rows = [
+        truly_added(bs, as_).select(F.lit("specs_added").alias("category")),
+        changes.filter("change = 'removed'").select(F.lit("specs_removed")),
+        changes.filter("change = 'changed'").select(F.lit("specs_changed")),
+        renamed(bs, as_).select(F.lit("specs_renamed")),
+        ac.join(bc.select("file"), "file", "left_anti").select(F.lit("code_added")),
+        bc.join(ac.select("file"), "file", "left_anti").select(F.lit("code_removed")),
+        function_changes(bc, ac, by_line=False).select(F.lit("funcs_changed")),
+        bo.select(F.lit("orphans_before")),
+        ao.select(F.lit("orphans_after")),
+        orphan_difference(bo, ao).select(F.when(F.col("change") == "new_orphan", "new_orphans").otherwise("resolved_orphans")),
+    ]
+    names = "specs_added specs_removed specs_changed specs_renamed code_added code_removed funcs_changed orphans_before orphans_after new_orphans resolved_orphans".split()
+    out = bs.sparkSession.createDataFrame([(n, 0) for n in names], "category string, n long")
+    for r in rows:
+        out = out.union(r.withColumn("n", F.lit(1).cast("long")))
+    return out.groupBy("category").agg(F.sum("n").alias("n"))
 
 
 def change_counts(*changes: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import COVERING, SPEC
-from .substring import inside_pairs
 
 
 @dataclass(frozen=True)
@@ -69,11 +68,23 @@ def spec_aliases(nodes: DataFrame) -> DataFrame:
     # among loose matches numbers count in order of their first node
     left = tagged.join(first, F.col("num") == F.col("hnum"), "left_anti")
     nums = left.select("num").distinct()
-    near = inside_pairs(nums, "num", first, "hnum").select("num", "hnum").union(inside_pairs(first, "hnum", nums, "num").select("num", "hnum")).distinct()
-    loose = near.join(first, "hnum").groupBy("num").agg(F.min_by("id", "ord").alias("id"))
+    holding = first.select(F.explode(parts("hnum")).alias("num"), "id", "ord").groupBy("num").agg(F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord"))
+    held = nums.select("num", F.explode(parts("num")).alias("hnum")).join(first, "hnum").select("num", "id", "ord")
+    loose = nums.join(holding, "num").select("num", "id", "ord").union(held).groupBy("num").agg(F.min_by("id", "ord").alias("id"))
     return exact.union(left.join(loose, "num").select("alias_id", "id"))
 
 
+def parts(number: str) -> Column:
+    """All distinct runs of characters of a number, the empty one included.
+
+    The first spec of each is kept before any join, so a run that many numbers share
+    costs no more than others; numbers are short, and runs grow with their square.
+    """
+    c, n = F.col(number), F.length(number)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), n - i + 1), lambda k: F.substring(c, i, k))))
+    return F.array_distinct(F.when(n > 0, runs).otherwise(F.array(F.lit(""))))
+
+
 def normalise(graph: TraceGraph) -> TraceGraph:
     """Fold ``spec::N`` nodes into the specs they name and redirect edges; edges aren't de-duplicated."""
     aliases = spec_aliases(graph.nodes)
@@ -132,11 +143,11 @@ def find_specs(nodes: DataFrame, query: str) -> DataFrame:
     return hits.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("best")
 
 
-def forward_impact(graph: TraceGraph, query: str) -> DataFrame:
-    """Edges into the specs a query means: (spec_id, src_id, file, relation, strength)."""
+def forward_impact(graph: TraceGraph, query: str, evidence: bool = False) -> DataFrame:
+    """Edges into the specs a query means: (spec_id, src_id, file, relation, strength), and their evidence if asked for."""
     specs = find_specs(graph.nodes, query).select(F.col("id").alias("spec_id"))
     hits = graph.edges.join(specs, F.col("dst_id") == F.col("spec_id"))
-    return hits.join(graph.nodes.select(F.col("id").alias("src_id"), "file"), "src_id", "left").select("spec_id", "src_id", "file", "relation", "strength")
+    return hits.join(graph.nodes.select(F.col("id").alias("src_id"), "file"), "src_id", "left").select("spec_id", "src_id", "file", "relation", "strength", *(["evidence"] if evidence else []))
 
 
 def reverse_impact(graph: TraceGraph, file: str) -> DataFrame:

@@ -101,7 +101,7 @@ def match_inputs(specs: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFra
     said = F.concat_ws(" ", "title", "heading_text", F.array_join("parent_chain", " "), F.substring("body_text", 1, 300))
     s = specs.select(F.col("ord").alias("spec_id"), "auto_id", "file", X.stem(F.col("file")).alias("stem"), X.tokens(said).alias("tokens"))
     shown = F.concat_ws(" ", "file", F.array_join("symbols", " "), F.array_join(F.transform("functions", lambda f: f["body_preview"]), " "))
-    c = codes.select(F.col("file").alias("code_id"), "file", X.package_stem(F.col("file")).alias("stem"), X.tokens(shown).alias("tokens"), X.tokens(X.package_stem(F.col("file"))).alias("stem_tokens"), "is_test")
+    c = codes.select(F.col("file").alias("code_id"), "file", X.package_stem(F.col("file")).alias("stem"), X.tokens(shown).alias("tokens"), X.tokens(X.package_stem(F.col("file"))).alias("stem_tokens"), "is_test", "ord")
     return s, c
 
 

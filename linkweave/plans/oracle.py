@@ -137,7 +137,7 @@ defs as (select fb.path as file, name, min(s.ord * 100 + fb.line) as ord from fb
 cand as (select w.file, w.name, d.file || '::' || d.name as callee, case when d.file = w.file then 0 when regexp_replace(d.file, '/[^/]*$', '') = regexp_replace(w.file, '/[^/]*$', '') then 1 else 2 end as far, d.ord from wants w join defs d on d.name = w.name),
 res as (select file, name, callee from (select *, row_number() over (partition by file, name order by far, ord) as n from cand) where n = 1) """
 
-_REACH = with_views("calls") + """, walk(key, depth) as (select caller, 0 from calls where cast(caller as bigint) < 40 union select callee, depth + 1 from walk join calls on caller = key where depth < 3),
+_REACH = with_views("calls") + """, walk(key, depth) as (select caller, 0 from calls where caller in (select cast(p_partkey as varchar) from part where lower(p_type) = 'promo') union select callee, depth + 1 from walk join calls on caller = key where depth < 3),
 seen as (select key, min(depth) as depth from walk group by key) """
 
 ALIASES = with_views("spec_ids", "spec_edges") + """, h as (select id, ord, regexp_extract(id, '\\.(\\d[\\d.]*)$', 1) as hnum from spec_ids where not starts_with(id, 'spec::')),
@@ -185,14 +185,14 @@ where case when b.segment = 'BUILDING' then not (n.file glob 'src/promo/*' or re
 select 'spec::' || l.spec as spec_id, o.value as path, o.file, o.line from o join (select file, arg_max(value, line) as spec from o where role = 'user' group by file) l on l.file = o.file where o.role <> 'user'""",
     "boundary_preceding_spec": """with o as (select 'c' || conv_id as file, role, text as value, turn::integer as line from conversations)
 select 'spec::' || (select arg_max(p.value, p.line) from o p where p.file = o.file and p.role = 'user' and p.line < o.line) as spec_id, value as path, file, line from o where role <> 'user' and exists(select 1 from o p where p.file = o.file and p.role = 'user' and p.line < o.line)""",
-    "tokenizer": f"select doc_id, len(t)::bigint as n, array_to_string(list_sort(t)[1:8], ' ') as first from (select doc_id, {_tokens('text')} as t from documents)",
+    "tokenizer": f"select doc_id, len(t)::bigint as n, sha256(array_to_string(list_sort(t), ' ')) as tokens_sha256 from (select doc_id, {_tokens('text')} as t from documents)",
     "token_index_candidates": _SIM + "select spec_id, code_id, n_symbol, n_stem from sc where n_symbol > 0 or n_stem > 0",
     "evidence_tokens": _SIM + "select spec_id, code_id, array_to_string(list_sort(both_text)[1:5], ', ') as symbol_tokens from sc where n_symbol > 0 or n_stem > 0",
     "same_dir_candidates": _SIM + "select spec_id, code_id from sc where s_dir = 1.0",
     "partial_dir_candidates": _SIM + "select spec_id, code_id from sc where s_dir = 0.6",
     "edge_score": _SIM + "select spec_id, code_id, s_dir, s_file, confidence from cand",
     "edge_strength": _SIM + "select case when is_test then 'verifies' else 'implements' end as relation, case when confidence < 0.4 then 'weak' else 'inferred' end as strength, count(*) as n, min(confidence) as low, max(confidence) as high from cand where confidence >= 0.15 group by 1, 2",
-    "func_score": with_views("specs", "codes") + f""", s as (select spec_id, {_tokens("text")} as a from specs), f as (select code_id as func_id, {_tokens(_preview("text"))} as b from codes),
+    "func_score": with_views("specs", "codes") + f""", s as (select spec_id, {_tokens("text")} as a from specs), f as (select code_id as func_id, {_tokens("concat_ws(' ', file, text)")} as b from codes),
 p as (select spec_id, func_id, len(list_intersect(a, b)) as n, len(a) as x, len(b) as y from s, f)
 select spec_id, func_id, confidence from (select *, {_round("least(case when n = x or n = y then greatest(3.0::double * (n::double / (x + y - n)), 0.9::double) else 3.0::double * (n::double / (x + y - n)) end, 1.0::double)", 4)} as confidence from p where n > 0) where confidence >= 0.15""",
     "suggest_topk": _SIM + f"select spec_id, code_id, {_round('confidence', 3)} as score, rank from (select *, row_number() over (partition by spec_id order by confidence desc, code_id) as rank from sc where confidence >= 0.1) where rank <= 3",
@@ -202,8 +202,18 @@ select spec_id, func_id, confidence from (select *, {_round("least(case when n =
     "drift_renamed": with_views("before", "after") + ", " + _RENAMES + " select old_id, new.id as new_id, body_hash_content from new join lastgone using (body_hash_content)",
     "drift_body_changed": with_views("before", "after") + ", " + _CHANGES + " select id, old_hash, new_hash from ch where change = 'body_changed'",
     "code_symbol_diff": _VERSIONS + "select * from cc where change is not null",
-    "func_drift_by_line": _VERSIONS + f"select o.path as file, o.name, o.line, {_hash('o.body')} as old_hash, {_hash('n.body')} as new_hash from ob o join nb n on o.path = n.path and o.name = n.name and o.line = n.line where o.body <> n.body",
-    "func_drift_by_name": _VERSIONS + f"select file, name, {_hash('a')} as old_hash, {_hash('b')} as new_hash from (select path as file, name, arg_max(body, line) as a from ob group by path, name) x join (select path as file, name, arg_max(body, line) as b from nb group by path, name) y using (file, name) where a <> b",
+    "func_drift_by_line": _VERSIONS + f"select o.path as file, o.name, o.line, {_hash('o.body')} as old_hash, {_hash('n.body')} as new_hash, n.kind from ob o join nb n on o.path = n.path and o.name = n.name and o.line = n.line where o.body <> n.body",
+    "func_drift_by_name": _VERSIONS + f"select file, name, line, {_hash('a')} as old_hash, {_hash('body')} as new_hash from (select path as file, name, arg_max(body, line) as a from ob group by path, name) x join (select path as file, name, line, body from nb) y using (file, name) where a <> body",
+    "snapshot_diff_full": _VERSIONS + ", before as (" + with_views("before", "after", "nodes", "edges").split("before as (", 1)[1].rstrip() + ", " + _CHANGES + ", " + _RENAMES + f""", x as (select id, exists(select 1 from edges where dst_id = id and {COVER} and strength = 'explicit') as was, exists(select 1 from edges where dst_id = id and {COVER} and strength = 'inferred') as now from nodes where type = 'spec')
+select 'specs_added' as category, count(*) as n from new where body_hash_content not in (select body_hash_content from lastgone)
+union all select 'specs_removed', count(*) from gone union all select 'specs_changed', count(*) from ch where change = 'changed' union all select 'specs_renamed', count(*) from new join lastgone using (body_hash_content)
+union all select 'code_added', count(*) from cc where change = 'added' union all select 'code_removed', count(*) from cc where change = 'removed'
+union all select 'funcs_changed', count(*) from (select path, name, arg_max(body, line) as a from ob group by path, name) o join nb n on n.path = o.path and n.name = o.name and n.body <> o.a
+union all select 'orphans_before', count(*) from x where not was union all select 'orphans_after', count(*) from x where not now
+union all select 'new_orphans', count(*) from x where was and not now union all select 'resolved_orphans', count(*) from x where now and not was""",
+    "orphan_difference": with_views("nodes", "edges") + f""", x as (select id, title, exists(select 1 from edges where dst_id = id and {COVER} and strength = 'explicit') as was, exists(select 1 from edges where dst_id = id and {COVER} and strength = 'inferred') as now from nodes where type = 'spec'),
+a as (select id from x where not was), b as (select case when ends_with(title, '7') then id || ' new' else id end as id from x where not now)
+select id, 'new_orphan' as change from b where id not in (select id from a) union all select id, 'resolved' from a where id not in (select id from b)""",
     "snapshot_diff_counts": _VERSIONS + ", before as (" + with_views("before", "after").split("before as (", 1)[1].rstrip() + ", " + _CHANGES + " select change as category, count(*) as n from (select change from ch union all select change from cc) where change is not null group by change",
     "orphan_transitions": with_views("nodes", "edges") + f""", x as (select id, exists(select 1 from edges where dst_id = id and {COVER} and strength = 'explicit') as was, exists(select 1 from edges where dst_id = id and {COVER} and strength = 'inferred') as now from nodes where type = 'spec')
 select id, case when was then 'new_orphan' else 'resolved' end as change from x where was <> now""",
@@ -221,6 +231,8 @@ select id, case when was then 'new_orphan' else 'resolved' end as change from x
     "call_sites": with_views("sources") + f"select path, array_to_string(list_sort({_CALLS}), ',') as calls from sources",
     "html_tag_extract": with_views("pages_text") + """, k as (select path, kind, regexp_extract_all(text, '<!--\\s*@' || kind || '\\s+(.+?)\\s*-->', 1) as v from pages_text, (select unnest(['spec', 'design', 'satisfies']) as kind))
 select path, kind, (unnest(range(len(v))))::bigint as n, trim(unnest(v)) as value from k""",
+    "python_comment_tags": with_views("sources") + "select path as file, 'impl' as kind, regexp_extract(text, '^# @impl (.*)', 1) as value, 1::bigint as line from sources",
+    "ast_blocks": with_views("sources") + f", {_blocks('sources', 'fb')} select path, name, case when kind = 'class' then 'class' else 'function' end as kind, line from fb",
     "tag_split": with_views("markdown") + ", k as (select path, unnest(regexp_extract_all(text, '<!--\\s*@satisfies\\s+(.+?)\\s*-->', 1)) as v from markdown) select path, trim(unnest(string_split(v, ','))) as spec from k",
     "yaml_hierarchy": with_views("yaml_items") + """, walk(id, title, depth, chain) as (
   select id, title, 1, case when parent = '' then '' else parent end from yaml_items where parent = '' or parent not in (select id from yaml_items)
@@ -233,6 +245,9 @@ select id, depth::bigint as depth, chain from walk union all select id, 1, paren
     "callees_callers": with_views("calls") + "select key, sum(d)::bigint as n_callees, sum(u)::bigint as n_callers from (select caller as key, 1 as d, 0 as u from calls union all select callee, 0, 1 from calls) group by key",
     "bfs_depth": _REACH + "select key, depth::bigint as depth from seen",
     "transitive_impact": _REACH + "select 'f' || (key::bigint % 20) as file, case when depth = 0 then 'direct' else 'transitive' end as kind, min(depth)::bigint as depth from seen group by 1, 2",
+    "traversed_calls": _REACH.replace("depth < 3", "depth < 2") + "select caller, callee from calls join seen a on a.key = caller left join seen b on b.key = callee where b.depth is null or b.depth > a.depth",
+    "direct_neighbours": with_views("calls") + "select distinct 'callee' as direction, callee as key from calls where caller = '17' union all select distinct 'caller', caller from calls where callee = '17'",
+    "impact_seeds": with_views("nodes", "edges") + "select distinct f.file || '::' || k.k as key from edges e join nodes n on n.id = e.src_id join nodes f on f.file = n.file and f.type = 'code', (select unnest(['a', 'b', 'c']) as k) k where e.dst_id = 'spec:17' and n.file <> '' and not contains(e.src_id, '::')",
     "symbol_resolution": with_views("calls") + """, k as (select distinct caller as s from calls) select distinct 'f' || (c.caller::bigint % 20) || '::' || c.caller as caller, 'f' || (c.callee::bigint % 20) || '::' || c.callee as callee from calls c join k on k.s = c.callee where c.callee::bigint <= c.caller::bigint""",
     "cache_filter": with_views("files_now", "files_then") + "select n.path, case when t.path is null then 'new' when t.mtime = n.mtime then 'unchanged' when t.hash = n.hash then 'touched' else 'changed' end as state from files_now n left join files_then t on t.path = n.path",
     "graph_json_rows": with_views("edges") + "select src_id, dst_id, case (ord % 6)::integer when 1 then 'depends' when 3 then 'depends' when 4 then 'implements' else 'references' end as relation, case when ord % 4 = 0 then 'explicit' else 'inferred' end as strength from edges",

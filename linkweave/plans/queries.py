@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import boundary, cache, coverage, drift, infer, parse, structure
 from ..operators import graph as G
+from ..scratch import store
 from ..streaming import watch
 from .views import view
 
@@ -190,15 +191,16 @@ def _outline_tags(spark, d):
 
 
 def _similar(spark, d):
-    s = view(spark, d, "specs").withColumn("tokens", X.tokens(F.col("text")))
-    c = view(spark, d, "codes").withColumns({"tokens": X.tokens(F.concat_ws(" ", "file", "text")), "stem_tokens": X.tokens(F.col("stem"))})
-    return s, c
+    """Specs and codes with their tokens, stored: each side is read several times, and tokenised once."""
+    s = view(spark, d, "specs").withColumn("tokens", X.tokens(F.col("text"))).drop("text")
+    c = view(spark, d, "codes").withColumns({"tokens": X.tokens(F.concat_ws(" ", "file", "text")), "stem_tokens": X.tokens(F.col("stem"))}).drop("text")
+    return store(s), store(c)
 
 
 @_query
 def tokenizer(spark, d):
     t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice(F.array_sort("t"), 1, 8), " ").alias("first"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join(F.array_sort("t"), " "), 256).alias("tokens_sha256"))
 
 
 @_query
@@ -237,7 +239,7 @@ def edge_strength(spark, d):
 @_query
 def func_score(spark, d):
     s, c = _similar(spark, d)
-    f = c.select(F.col("code_id").alias("func_id"), X.tokens(X.preview(F.col("text"))).alias("tokens"))  # functions match by name and preview
+    f = c.select(F.col("code_id").alias("func_id"), "tokens")  # documents stand for functions
     return infer.function_scores(s, f).filter(F.col("confidence") >= infer.LEAST_CONFIDENCE)
 
 
@@ -296,9 +298,25 @@ def func_drift_by_line(spark, d):
     return _long(drift.function_changes(*_versions(spark, d)), "line")
 
 
+@_query
+def snapshot_diff_full(spark, d):
+    """The eleven counters of two snapshots: specs, code and orphan lists of two moments."""
+    a, b = _sure(_graph(spark, d)), _sure(_graph(spark, d), "inferred")
+    (bs, as_), (bc, ac) = _moments(spark, d), _versions(spark, d)
+    return drift.snapshot_counts((bs, bc, coverage.orphan_specs(a)), (as_, ac, coverage.orphan_specs(b)))
+
+
+@_query
+def orphan_difference(spark, d):
+    """Orphans of two lists, one of them of fewer specs."""
+    a, b = _sure(_graph(spark, d)), _sure(_graph(spark, d), "inferred")
+    renamed = coverage.orphan_specs(b).withColumn("id", F.when(F.col("title").endswith("7"), F.concat("id", F.lit(" new"))).otherwise(F.col("id")))
+    return drift.orphan_difference(coverage.orphan_specs(a), renamed)
+
+
 @_query
 def func_drift_by_name(spark, d):
-    return drift.function_changes(*_versions(spark, d), by_line=False).select("file", "name", "old_hash", "new_hash")
+    return _long(drift.function_changes(*_versions(spark, d), by_line=False).select("file", "name", "line", "old_hash", "new_hash"), "line")
 
 
 @_query
@@ -380,6 +398,22 @@ def html_tag_extract(spark, d):
     return _long(parse.html_tags(view(spark, d, "pages_text")), "n")
 
 
+@_query
+def python_comment_tags(spark, d):
+    from ..sources import tags
+
+    files = view(spark, d, "sources").select("path", F.lit(".py").alias("ext"), "text")
+    return _long(tags.extract_tags(files).select("file", "kind", "value", "line"), "line")
+
+
+@_query
+def ast_blocks(spark, d):
+    from ..sources import python_ast
+
+    rows = python_ast.ast_blocks(view(spark, d, "sources"))
+    return _long(rows.select("path", "name", "kind", "line"), "line")
+
+
 @_query
 def tag_split(spark, d):
     tags = parse.html_tags(view(spark, d, "markdown")).filter("kind = 'satisfies'")
@@ -434,19 +468,44 @@ def callees_callers(spark, d):
     return structure.degrees(view(spark, d, "calls"))
 
 
+def _changed(spark, d, calls):
+    """Callers among the functions of changed files: the parts of one kind."""
+    changed = spark.read.parquet(f"{d}/part.parquet").filter("lower(p_type) = 'promo'").select(F.col("p_partkey").cast("string").alias("key"))
+    return changed.join(calls.select(F.col("caller").alias("key")), "key", "left_semi")
+
+
 @_query
 def bfs_depth(spark, d):
     calls = view(spark, d, "calls")
-    seeds = calls.filter("cast(caller as long) < 40").select(F.col("caller").alias("key"))
-    return _long(structure.reach(seeds, calls, 3), "depth")
+    return _long(structure.reach(_changed(spark, d, calls), calls, 3), "depth")
 
 
 @_query
 def transitive_impact(spark, d):
     calls = view(spark, d, "calls")
-    seeds = calls.filter("cast(caller as long) < 40").select(F.col("caller").alias("key"))
     functions = calls.select(F.col("caller").alias("key")).union(calls.select("callee")).distinct().withColumn("file", F.concat(F.lit("f"), (F.col("key").cast("long") % 20).cast("string")))
-    return _long(structure.transitive_impact(seeds, calls, functions, 3), "depth")
+    return _long(structure.transitive_impact(_changed(spark, d, calls), calls, functions, 3), "depth")
+
+
+@_query
+def traversed_calls(spark, d):
+    """Calls that a search of depth 2 goes along or stops at."""
+    calls = view(spark, d, "calls")
+    return structure.traversed(structure.reach(_changed(spark, d, calls), calls, 2), calls)
+
+
+@_query
+def direct_neighbours(spark, d):
+    return structure.neighbours(view(spark, d, "calls"), "17")
+
+
+@_query
+def impact_seeds(spark, d):
+    """Functions that edges tie to one spec: the parts' files, each with three functions."""
+    g = _graph(spark, d)
+    names = F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    functions = g.nodes.filter("type = 'code'").select("file", names.alias("name")).select("file", F.concat("file", F.lit("::"), "name").alias("key"))
+    return structure.impact_seeds(g, functions, "spec:17")
 
 
 @_query

@@ -1,6 +1,6 @@
 """The engine as plain functions from a project to small results, for tool servers and scripts.
 
-All but ``snapshot`` and ``drift`` look at the merged graph.  Lists are limited to ``top`` rows.
+All but ``snapshot`` and ``drift`` look at the merged graph.  Lists are whole unless ``top`` says how many rows are wanted.
 """
 
 from __future__ import annotations
@@ -21,17 +21,17 @@ from . import adapters, render
 from . import snapshot as snapshots
 
 
-def _rows(df: DataFrame, top: int) -> list[dict]:
-    return [r.asDict(True) for r in df.limit(top).collect()]
+def _rows(df: DataFrame, top: int | None) -> list[dict]:
+    return [r.asDict(True) for r in (df if top is None else df.limit(top)).toLocalIterator()]
 
 
 def analyze(spark: SparkSession, root: str, top: int = 20) -> str:
     return render.graph_text(adapters.merged(spark, root), top)
 
 
-def impact(spark: SparkSession, root: str, spec: str | None = None, file: str | None = None, top: int = 100) -> list[dict]:
+def impact(spark: SparkSession, root: str, spec: str | None = None, file: str | None = None, top: int | None = None) -> list[dict]:
     g = adapters.merged(spark, root)
-    return _rows(graphs.reverse_impact(g, file) if file else graphs.forward_impact(g, spec or ""), top)
+    return _rows(graphs.reverse_impact(g, file) if file else graphs.forward_impact(g, spec or "", evidence=True), top)
 
 
 def coverage(spark: SparkSession, root: str) -> dict:
@@ -47,13 +47,19 @@ def snapshot(spark: SparkSession, root: str, reason: str = "") -> str:
     return snapshots.save(snapshots.current(spark, root), root, reason=reason)
 
 
+def diff(spark: SparkSession, one: str, other: str) -> dict | None:
+    """Two snapshot files compared, None if one is missing or broken."""
+    before, after = snapshots.read(spark, one), snapshots.read(spark, other)
+    return None if before is None or after is None else snapshots.difference(before, after)
+
+
 def drift(spark: SparkSession, root: str) -> dict | None:
     """Changes by category since the project's snapshot, None without one."""
     before = snapshots.read(spark, os.path.join(root, OWN_DIR, "snapshot.json"))
     return None if before is None else snapshots.compare(before, snapshots.current(spark, root)).counts()
 
 
-def validate_boundary(spark: SparkSession, root: str, top: int = 100) -> list[dict]:
+def validate_boundary(spark: SparkSession, root: str, top: int | None = None) -> list[dict]:
     found, marks = tags.tag_graph(store(tags.extract_tags(tags.tagged_files(spark, root))))
     return _rows(bounds.violations(found, marks), top)
 

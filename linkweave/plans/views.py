@@ -49,7 +49,7 @@ select concat('docs.', lower(c_mktsegment), '.', cast(c_nationkey as string), '.
 union all select concat('spec::', cast(c_nationkey as string), '.', cast(c_custkey as string)), 'spec', '', cast(0.95 as double), 1000000000 + c_custkey from {customer} where c_mktsegment = 'BUILDING'
 union all select concat('spec::', cast(c_custkey + 7 as string), '.', cast(c_nationkey as string)), 'spec', 'x', cast(0.7 as double), 2000000000 + c_custkey from {customer} where c_mktsegment = 'MACHINERY'
 union all select concat('spec::', cast(c_nationkey as string), '.', cast(c_custkey as string), '9'), 'spec', 'y', cast(0.7 as double), 3000000000 + c_custkey from {customer} where c_mktsegment = 'FURNITURE'""",
-        "spec_edges": "select concat('part:', cast(p_partkey as string)) as src_id, concat('spec::', cast(c_nationkey as string), '.', cast(c_custkey as string)) as dst_id, 'implements' as relation, 'explicit' as strength, p_partkey as ord from {part} join {customer} on p_partkey = c_custkey",
+        "spec_edges": "select concat('part:', cast(p_partkey as string)) as src_id, case when c_custkey is null then 'spec::none' else concat('spec::', cast(c_nationkey as string), '.', cast(c_custkey as string)) end as dst_id, 'implements' as relation, 'explicit' as strength, p_partkey as ord from {part} left join {customer} on p_partkey = c_custkey",
         "specs": """
 select item_id as spec_id, concat(case item_id % 4 when 0 then 'en' when 1 then 'de' when 2 then 'fr' else 'esx' end, '/src', cast(item_id % 20 as string), '.md') as file, concat('src', cast(item_id % 20 as string)) as stem, text from {benchmark}""",
         "codes": "select doc_id as code_id, concat(lang, '/', source, '.py') as file, source as stem, text, doc_id % 5 = 0 as is_test from {documents}",
@@ -73,11 +73,11 @@ from {{part}} p left join {{part}} q on q.p_partkey = p.p_partkey + 1""",
         "calls": """
 select distinct cast(l_partkey as string) as caller, cast(callee as string) as callee from (
   select l_partkey, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as callee from {lineitem}) where callee is not null""",
-        "outline": "select cast(conv_id as string) as path, turn + 1 as line, case role when 'user' then 1 else 2 end as depth, text as heading from {conversations} where role <> 'system'",
+        "outline": "select cast(conv_id as string) as path, turn + 1 as line, case role when 'user' then 1 when 'assistant' then 2 else 3 end as depth, text as heading from {conversations}",
         "yaml_items": "select cast(n_regionkey as string) as file, cast(n_nationkey as string) as id, n_name as title, case when n_nationkey < 5 then '' when n_nationkey = 20 then 'gone' when n_nationkey = 21 then '22' when n_nationkey = 22 then '21' else cast((n_nationkey - 5) as string) end as parent, 1 as one from {nation}",
         "pages_text": "select concat('p', cast(page_id as string)) as path, concat(html, ' <!-- @spec ', cast(page_id as string), ' --> <!--  @design  d', cast(page_id % 7 as string), '  -->') as text from {pages}",
         "files_now": f"select concat('d', cast(doc_id as string)) as path, {_hash(spark, 'text')} as hash, doc_id % 100 as mtime from {{documents}}",
-        "files_then": f"select concat('d', cast(doc_id as string)) as path, case when doc_id % 5 = 0 then 'old' else {_hash(spark, 'text')} end as hash, case when doc_id % 3 = 0 then 7 else doc_id % 100 end as mtime from {{documents}} where lang <> 'fr'",
+        "files_then": f"select concat(case when lang = 'fr' then 'gone' else 'd' end, cast(doc_id as string)) as path, case when doc_id % 5 = 0 then 'old' else {_hash(spark, 'text')} end as hash, case when doc_id % 3 = 0 then 7 else doc_id % 100 end as mtime from {{documents}}",
     }
     return re.sub(r"\{(\w+)\}", lambda m: m[0] if m[1] in TABLES else view_sql(m[1], spark), views[name])
 

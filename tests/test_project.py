@@ -155,6 +155,100 @@ def test_drift(spark, tree):
     got = snapshot.compare(snapshot.read(spark, path), snapshot.current(spark, root)).counts()
     assert got["specs_body_changed"] == 2 and got["specs_removed"] == 1 and got["code_added"] == 1 and got["code_funcs_changed"] == 1
     assert snapshot.read(spark, str(tree / "none.json")) is None
+    report = snapshot.compare(snapshot.read(spark, path), snapshot.current(spark, root))
+    text = report.text()
+    assert "  src/new.py  (Python)  fresh" in text and "docs.auth.1.2: Logout  (docs/auth.md)" in text and "coverage: " in text
+    assert "src/reports/charts.py::render_chart  (function 1)" in text
+
+
+def test_snapshot_difference(spark, tree):
+    """A function that moved counts by its name; an orphan list is compared whole; details are the first few."""
+    root = str(tree)
+    one = snapshot.save(snapshot.current(spark, root), root, str(tree / ".linkweave/one.json"))
+    (tree / "src/reports/charts.py").write_text("import os\n\n\ndef render_chart(x):\n    return 2 * x\n\n\nclass Chart:\n    pass\n")
+    (tree / "docs/auth.md").write_text("# Authentication\n<!-- @spec 1.1 -->\n## Sign in\nCheck the password of a user.\n_Boundary:_ src/auth/\n### Deep\n" + "".join(f"## Zqx{i} unrelated\nbody {i}\n" for i in range(8)), "utf-8")
+    two = snapshot.save(snapshot.current(spark, root), root, str(tree / ".linkweave/two.json"))
+    got = snapshot.difference(snapshot.read(spark, one), snapshot.read(spark, two))
+    assert got["funcs_changed"] == 1 and snapshot.compare(snapshot.read(spark, one), snapshot.read(spark, two)).functions.isEmpty()
+    assert got["specs_changed"] == 2 and {d["new_title"] for d in got["changed_specs_detail"]} == {"Sign in", "Zqx0 unrelated"}
+    assert got["specs_added"] == 7 and len(got["added_specs_detail"]) == 5 and got["added_specs_detail"][0]["title"] == "Zqx1 unrelated"
+    assert got["orphans_after"] - got["orphans_before"] == got["new_orphans"] - got["resolved_orphans"] and got["new_orphans"] >= 7
+    assert got["code_added"] == got["code_removed"] == got["specs_removed"] == 0 and set(got["coverage_before"]) == set(got["coverage_after"])
+    assert tools.diff(spark, one, two) == got and tools.diff(spark, one, str(tree / "none.json")) is None
+
+
+def test_nothing_is_cut(spark, capsys):
+    """More rows than any list, page or document used to hold."""
+    n = 2_500
+    nodes = spark.range(n).selectExpr("concat('s', id) as id", "'spec' as type", "concat('Title ', id) as title", "'a.md' as file", "id as ord").unionByName(spark.createDataFrame([("c", "code", "c", "c.py", n)], "id string, type string, title string, file string, ord long"))
+    edges = spark.range(4 * n + 10).selectExpr("'c' as src_id", "concat('s', id) as dst_id", "'implements' as relation", "'weak' as strength", "id as ord")
+    g = TraceGraph(nodes, edges)
+    doc = json.loads(render.graph_json(g))
+    assert len(doc["nodes"]) == n + 1 and len(doc["edges"]) == 4 * n + 10
+    page = json.loads(render.graph_html(g).split("id='graph'>")[1].split("</script>")[0])
+    assert len(page["nodes"]) == n + 1 and len(page["links"]) == 4 * n + 10
+    assert render.coverage_html(g).count("<tr class=") == n and f"... and {n - 3} more" in render.graph_text(g, 3)
+    cli._print(edges.select("dst_id"), cli.argparse.Namespace(top=None, json=False))
+    assert len(capsys.readouterr().out.splitlines()) == 4 * n + 10
+    cli._print(edges.select("dst_id"), cli.argparse.Namespace(top=7, json=True))
+    said = capsys.readouterr()
+    assert len(said.out.splitlines()) == 7 and "only the first 7" in said.err
+    assert len(tools._rows(edges, None)) == 4 * n + 10
+
+
+def test_plugins_are_loaded(spark, tree, monkeypatch):
+    """Entry points bring adapters; one that fails to load is left out."""
+    from linkweave.examples.csv_adapter import CsvLinks
+
+    class Point:
+        def __init__(self, what):
+            self.load = lambda: what() if what is broken else what
+
+    def broken():
+        raise RuntimeError("no such plugin")
+
+    monkeypatch.setattr(adapters, "_LOADED", False)
+    monkeypatch.setattr(adapters, "_REGISTRY", dict(adapters._REGISTRY))
+    monkeypatch.setattr(adapters.importlib.metadata, "entry_points", lambda group: [Point(broken), Point(CsvLinks), Point(str)])
+    assert "csv-links" in adapters.adapters()
+    assert "csv-links" not in {a.name for _, a in adapters.detected(str(tree))}
+    (tree / "links.csv").write_text("spec,file\n7.7,src/app.ts\n7.7,src/app.ts\n7.8,src/auth/login.py\n")
+    assert "csv-links" in {a.name for _, a in adapters.detected(str(tree))}
+    g = adapters.merged(spark, str(tree))
+    assert {(r["src_id"], r["dst_id"]) for r in g.edges.filter("src_id in ('src/app.ts', 'src/auth/login.py') and dst_id like '7.%'").collect()} == {("src/app.ts", "7.7"), ("src/auth/login.py", "7.8")}
+
+
+def test_broken_snapshots(spark, tmp_path):
+    for text in ("", "{", "[1, 2"):
+        (tmp_path / "s.json").write_text(text)
+        assert snapshot.read(spark, str(tmp_path / "s.json")) is None
+
+
+def test_git_failures_are_told(spark, tree):
+    from linkweave.sources import git
+
+    with pytest.raises(git.GitError):
+        git.changed_files(spark, str(tree), "HEAD")
+    assert cli.main(["drift", str(tree), "--git", "HEAD"], spark) == 2
+
+
+def test_row_local_blocks(spark):
+    from linkweave.operators import parse
+
+    files = spark.createDataFrame([("a.md", "above\n# A\n## B\ntext\n\n# C"), ("b.md", "none"), ("c.md", ""), ("d.md", None)], "path string, text string")
+    assert [tuple(r) for r in parse.sections(files).orderBy("path", "line").collect()] == [("a.md", 2, 1, "A", "# A"), ("a.md", 3, 2, "B", "## B\ntext\n"), ("a.md", 6, 1, "C", "# C")]
+    assert "Exchange" not in parse.sections(files)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_tokens_are_dealt(spark, monkeypatch):
+    from linkweave.operators import infer
+
+    s = spark.createDataFrame([(i, f"d{i % 2}/a.md", "a", ["shared", f"t{i}"]) for i in range(5)], "spec_id long, file string, stem string, tokens array<string>")
+    c = spark.createDataFrame([(i, "d0/b.py", "b", ["shared", f"t{i}"], ["b"]) for i in range(40)], "code_id long, file string, stem string, tokens array<string>, stem_tokens array<string>")
+    rows = lambda: sorted(tuple(r) for r in infer.score(infer.candidates(s, c), s, c).collect())
+    whole = rows()
+    monkeypatch.setattr(infer, "HOT", 3)
+    assert rows() == whole and len(whole) == 200
 
 
 def test_guard(tmp_path):
@@ -191,7 +285,7 @@ def test_tools(spark, tree):
 
 def test_pages(spark, tree):
     g = adapters.HeuristicAdapter().analyze(spark, str(tree))
-    assert "<script type='application/json'" in render.graph_html(g) and "class='orphan'" in render.coverage_html(g)
+    assert "type='application/json'" in render.graph_html(g) and "class='orphan'" in render.coverage_html(g)
     assert json.loads(render.graph_json(g))["nodes"]
 
 
