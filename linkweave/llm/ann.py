@@ -56,16 +56,19 @@ def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_exact(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, scores) of the k largest ``products``, ties to the smaller id.
+def best_exact(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, at: np.ndarray | None = None, largest: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the k largest ``products`` of the rows ``at`` (all if None), ties to the smaller id.
 
-    A matrix product, whose sums may differ in their last bits, leaves only the rows
-    that its rounding could put among the k largest.
+    A matrix product over all rows, whose sums may differ in their last bits, leaves
+    only those that its rounding could put among the k largest; ``largest`` is the
+    largest squared norm of ``rows``, if it is known.
     """
-    at, quick = np.arange(len(rows)), rows @ q
-    if len(rows) > k:
-        slack = 4 * len(q) * np.finfo(float).eps * np.sqrt((rows**2).sum(axis=1).max() * (q**2).sum())
-        at = np.flatnonzero(quick >= np.partition(quick, len(quick) - k)[len(quick) - k] - slack)
+    at = np.arange(len(rows)) if at is None else at
+    if len(at) > k:
+        quick = (rows @ q)[at]
+        norm = float((rows**2).sum(axis=1).max()) if largest is None else largest
+        slack = 4 * len(q) * np.finfo(float).eps * np.sqrt(norm * (q**2).sum())
+        at = at[quick >= np.partition(quick, len(quick) - k)[len(quick) - k] - slack]
     score = products(rows[at], q)
     order = top(score, ids[at], k)
     return at[order], score[order]
@@ -202,15 +205,16 @@ def _rerank(k: int):
                 if ready is None:
                     if not ids:
                         continue
-                    ready = (np.concatenate(ids), np.concatenate(cells), np.concatenate(rows))
+                    all_rows = np.concatenate(rows)
+                    ready = (np.concatenate(ids), np.concatenate(cells), all_rows, float((all_rows**2).sum(axis=1).max()))
                     rows = []
                 for i, own in zip(range(a, b), cell):
                     at = np.flatnonzero(np.isin(ready[1], np.frombuffer(own.as_buffer(), np.int32)) & (ready[0] != who[i]))
                     if not len(at):
                         continue
-                    place, score = best_exact(ready[2][at], ready[0][at], v[i], k)
+                    place, score = best_exact(ready[2], ready[0], v[i], k, at, ready[3])
                     out[0].append(np.full(len(place), who[i], np.int64))
-                    out[1].append(ready[0][at[place]])
+                    out[1].append(ready[0][place])
                     out[2].append(score)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
