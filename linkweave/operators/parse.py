@@ -30,23 +30,29 @@ LIBRARY = sorted(
 
 
 def _split(files: DataFrame, pattern: str) -> DataFrame:
-    """``files`` with ``__parts``: (line, head, body) of each line of ``text`` that fits, with the lines up to the next that does."""
-    heads = F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("pos"), x.alias("head"))), lambda h: h["head"].rlike(pattern))
-    rows = files.withColumn("__lines", F.split("text", "\n")).withColumn("__heads", heads)
-    body = lambda h, k: F.array_join(F.slice("__lines", h["pos"] + 1, F.coalesce(F.get("__heads", k + 1)["pos"], F.size("__lines")) - h["pos"]), "\n")
-    parts = F.transform("__heads", lambda h, k: F.struct((h["pos"] + 1).alias("line"), h["head"].alias("head"), body(h, k).alias("body")))
-    return rows.withColumn("__parts", parts).drop("__lines", "__heads")
+    """``files`` with ``__parts``: (line, head, body) of each line of ``text`` that fits, with the lines up to the next that does.
+
+    Lines are marked and joined again, and the marks cut the text in one pass, so a
+    file's work grows with its length; every line begins with a mark, so no text is
+    taken for one.
+    """
+    mark = F.transform(F.split("text", "\n"), lambda x: F.concat(F.when(x.rlike(pattern), F.lit("=")).otherwise(F.lit("+")), x))
+    heads = F.filter(F.transform("__marked", lambda x, i: F.when(F.startswith(x, F.lit("=")), F.struct((i + 1).alias("line"), F.substring(x, 2, 1 << 30).alias("head")))), lambda h: h.isNotNull())
+    pieces = F.split(F.concat(F.lit("\n"), F.array_join("__marked", "\n")), "\n=")  # the first is what is above the first head
+    rows = files.withColumn("__marked", mark).withColumns({"__heads": heads, "__pieces": pieces}).withColumn("__bodies", F.slice("__pieces", 2, F.size("__pieces")))
+    parts = F.transform(F.arrays_zip("__heads", "__bodies"), lambda p: F.struct(p["__heads"]["line"].alias("line"), p["__heads"]["head"].alias("head"), F.replace(p["__bodies"], F.lit("\n+"), F.lit("\n")).alias("body")))
+    return rows.withColumn("__parts", parts).drop("__marked", "__heads", "__pieces", "__bodies")
 
 
-def _parts(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, line, head, body): ``_split`` as rows; a file's own row is all that is looked at."""
-    return _split(files.select("path", "text"), pattern).select("path", F.explode("__parts").alias("part")).select("path", "part.*")
+def _parts(files: DataFrame, pattern: str, *more: str) -> DataFrame:
+    """(path, line, head, body) and columns ``more``: ``_split`` as rows; a file's own row is all that is looked at."""
+    return X.unfolded(_split(files.select("path", "text", *more), pattern), F.col("__parts"), "part").select("path", *more, "part.*")
 
 
-def sections(files: DataFrame) -> DataFrame:
-    """(path, line, depth, heading, body): a section goes from its heading to the line before the next; text above the first heading is no section."""
+def sections(files: DataFrame, *more: str) -> DataFrame:
+    """(path, line, depth, heading, body) and columns ``more``: a section goes from its heading to the line before the next; text above the first heading is no section."""
     depth, heading = F.length(F.regexp_extract("head", HEADING, 1)), X.strip(F.regexp_extract("head", HEADING, 2))
-    return _parts(files, HEADING).select("path", "line", depth.alias("depth"), heading.alias("heading"), "body")
+    return _parts(files, HEADING, *more).select("path", *more, "line", depth.alias("depth"), heading.alias("heading"), "body")
 
 
 def numbered(headings: DataFrame) -> DataFrame:
@@ -54,19 +60,23 @@ def numbered(headings: DataFrame) -> DataFrame:
 
     A counter a depth, deeper ones reset by each heading; a number joins the counters
     in use up to its depth, and its chain holds the nearest shallower headings.  Both
-    come from windows that restart at the last shallower heading.
+    are running values over one order of a path's lines, less what they were at the
+    last shallower heading, so a path is sorted once.
     """
-    out, w = headings, Window.partitionBy("path").orderBy("line")
-    for k in range(1, 7):
-        base = F.coalesce(F.max(F.when(F.col("depth") < k, F.col("line"))).over(w), F.lit(0))
-        out = out.withColumn(f"__b{k}", base)
-        inner = Window.partitionBy("path", f"__b{k}").orderBy("line")
-        out = out.withColumn(f"__c{k}", F.sum((F.col("depth") == k).cast("int")).over(inner))
-        out = out.withColumn(f"__t{k}", F.last(F.when(F.col("depth") == k, F.col("heading")), True).over(inner))
-    counts = F.array(*[F.when((F.col("depth") >= k) & (F.col(f"__c{k}") > 0), F.col(f"__c{k}").cast("string")) for k in range(1, 7)])
-    chain = F.array(*[F.when(F.col("depth") > k, F.col(f"__t{k}")) for k in range(1, 7)])
+    w = Window.partitionBy("path").orderBy("line")
+    above, at = w.rangeBetween(Window.unboundedPreceding, -1), F.col("depth")
+    depths = range(1, 7)
+    out = headings.withColumns({
+        **{f"__b{k}": F.coalesce(F.max(F.when(at < k, F.col("line"))).over(w), F.lit(0)) for k in depths},
+        **{f"__n{k}": F.count_if(at == k).over(w) for k in depths},
+        **{f"__a{k}": F.count_if(at == k).over(above) for k in depths},
+        **{f"__t{k}": F.last(F.when((at == k) & F.col("heading").isNotNull(), F.struct("line", "heading")), True).over(w) for k in depths},
+    })
+    out = out.withColumns({f"__c{k}": F.col(f"__n{k}") - F.coalesce(F.max(F.when(at < k, F.col(f"__a{k}"))).over(w), F.lit(0)) for k in depths})
+    counts = F.array(*[F.when((at >= k) & (F.col(f"__c{k}") > 0), F.col(f"__c{k}").cast("string")) for k in depths])
+    chain = F.array(*[F.when((at > k) & (F.col(f"__t{k}.line") >= F.col(f"__b{k}")), F.col(f"__t{k}.heading")) for k in depths])
     out = out.withColumn("number", F.array_join(F.array_compact(counts), ".")).withColumn("parent_chain", F.array_compact(chain))
-    return out.drop(*[f"__{x}{k}" for x in "bct" for k in range(1, 7)])
+    return out.drop(*[f"__{x}{k}" for x in "bnatc" for k in depths])
 
 
 def id_prefix(path: Column) -> Column:
@@ -77,9 +87,9 @@ def id_prefix(path: Column) -> Column:
 
 def spec_rows(files: DataFrame) -> DataFrame:
     """Spec candidates of Markdown files (path, text, ord), in the layout ``schema.SPECS``."""
-    rows = numbered(sections(files)).join(files.select("path", F.col("ord").alias("ford")), "path")
+    rows = numbered(sections(files, "ord"))
     return rows.select(
-        (F.col("ford") * F.lit(1 << 24) + F.col("line")).alias("ord"), F.col("path").alias("file"), F.col("depth").alias("heading_depth"), F.col("heading").alias("heading_text"),
+        (F.col("ord") * F.lit(1 << 24) + F.col("line")).alias("ord"), F.col("path").alias("file"), F.col("depth").alias("heading_depth"), F.col("heading").alias("heading_text"),
         F.concat(id_prefix(F.col("path")), "number").alias("auto_id"), X.clean_title(F.col("heading")).alias("title"), F.col("line").cast("int").alias("line"), "parent_chain",
         F.col("body").alias("body_text"), X.hash16(F.col("body")).alias("body_hash"), X.hash16(X.without_first_line(F.col("body"))).alias("body_hash_content"),
         X.line_breaks(F.col("body")).alias("body_line_count"), X.preview(F.col("body")).alias("body_preview"),
@@ -109,9 +119,9 @@ def _name_kind(head: Column) -> tuple[Column, Column]:
     return F.regexp_extract(head, "(?d)" + DEFINITION, 1).alias("name"), F.when(kind, "class").otherwise("function").alias("kind")
 
 
-def function_blocks(files: DataFrame) -> DataFrame:
-    """(path, name, kind, line, body): from each definition's line to the line before the next."""
-    return _parts(files, "(?d)" + DEFINITION).select("path", *_name_kind(F.col("head")), "line", "body")
+def function_blocks(files: DataFrame, *more: str) -> DataFrame:
+    """(path, name, kind, line, body) and columns ``more``: from each definition's line to the line before the next."""
+    return _parts(files, "(?d)" + DEFINITION, *more).select("path", *more, *_name_kind(F.col("head")), "line", "body")
 
 
 def code_rows(files: DataFrame) -> DataFrame:
@@ -137,7 +147,7 @@ def html_tags(files: DataFrame) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in ("spec", "design", "satisfies")])
     rows = files.select("path", "text", F.explode(kinds).alias("kind"))
     found = F.expr("regexp_extract_all(text, '<!--\\\\s*@' || kind || '\\\\s+(.+?)\\\\s*-->', 1)")
-    return rows.select("path", "kind", F.posexplode(found).alias("n", "value")).withColumn("value", X.strip(F.col("value")))
+    return X.unfolded(rows, found, "value", "n").select("path", "kind", "n", X.strip(F.col("value")).alias("value"))
 
 
 def hierarchy(items: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 _PART_FILE = "concat('src/', lower(p.p_type), '/', replace(p.p_name, ' ', '_'), '_', cast(p.p_partkey as string), '.py')"
 
+#: Views of small tables whose texts are long to parse: dealt out by path, as their bytes alone would make a task or two.
+SPREAD = ("markdown", "sources")
+
 
 def _joined(spark: bool, part: str, key: str, by: str) -> str:
     """Rows' ``part`` joined by line breaks in order of ``key`` within a group."""
@@ -84,7 +87,10 @@ select distinct cast(l_partkey as string) as caller, cast(callee as string) as c
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", view_sql(name, True))
-    return spark.sql(sql)
+    rows = spark.sql(sql)
+    if name in SPREAD:
+        return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return rows
 
 
 def with_views(*names: str) -> str:

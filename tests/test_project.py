@@ -240,6 +240,51 @@ def test_row_local_blocks(spark):
     assert "Exchange" not in parse.sections(files)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_long_files_split_in_one_pass(spark):
+    import time
+
+    from linkweave.operators import parse
+
+    text = "= a\n+ b\n" + "".join(f"# {i}\n=x\n+y\n\n" for i in range(30_000)) + "## end\n"
+    files = spark.createDataFrame([("a.md", text, 3)], "path string, text string, ord long")
+    parse.sections(files.limit(0)).collect()
+    began = time.time()
+    rows = parse.sections(files, "ord").orderBy("line").collect()
+    assert time.time() - began < 15 and len(rows) == 30_001
+    assert tuple(rows[7]) == ("a.md", 3, 31, 1, "7", "# 7\n=x\n+y\n") and rows[-1]["body"] == "## end\n"
+
+
+def test_numbers_need_one_sort(spark):
+    from linkweave.operators import parse
+
+    rows = [("a", 1, 1, "A"), ("a", 2, 3, "B"), ("a", 3, 2, "C"), ("a", 4, 2, None), ("a", 5, 3, "D"), ("a", 6, 1, "E"), ("a", 6, 2, "F"), ("a", 7, 2, "G"), ("b", 1, 2, "H")]
+    out = parse.numbered(spark.createDataFrame(rows, "path string, line int, depth int, heading string"))
+    assert [tuple(r) for r in out.select("path", "line", "number", F.array_join("parent_chain", ">")).orderBy("path", "line", "depth").collect()] == [
+        ("a", 1, "1", ""), ("a", 2, "1.1", "A"), ("a", 3, "1.1", "A"), ("a", 4, "1.2", "A"), ("a", 5, "1.2.1", "A>C"), ("a", 6, "2", ""), ("a", 6, "2.1", "E"), ("a", 7, "2.2", "E"), ("b", 1, "1", "")
+    ]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window ") <= 3 and out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+@pytest.mark.parametrize("query, work", [("func_blocks", "RLIKE"), ("title_clean", "RLIKE"), ("ast_blocks", "MapInPandas"), ("func_drift_by_line", "RLIKE")])
+def test_parsing_follows_the_exchange(spark, query, work):
+    from linkweave.plans.queries import QUERIES
+
+    plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.split("Exchange hashpartitioning(path")
+    assert len(dealt) > 1 and work in dealt[0]
+    assert all(work not in below.split("Exchange")[0] for below in dealt[1:])
+
+
+def test_folded_nodes_count_one_by_one(spark):
+    n = [("docs.a.1.2", "x", 0.5, 0), ("spec::1.2", "y", 0.9, 1), ("spec::1.2", "z", 0.7, 2)]
+    nodes = spark.createDataFrame(n, "id string, title string, confidence double, ord long").withColumn("type", F.lit("spec"))
+    edges = spark.createDataFrame([], "src_id string, dst_id string, relation string, strength string, ord long")
+    row = normalise(TraceGraph(nodes, edges)).nodes.collect()
+    assert [r["aliases"] for r in row] == [["spec::1.2", "spec::1.2"]]
+    again = normalise(TraceGraph(nodes.withColumn("aliases", F.array(F.lit("spec::1.2"))), edges)).nodes.collect()
+    assert [r["aliases"] for r in again] == [["spec::1.2"]]
+
+
 def test_hot_tokens_are_dealt(spark, monkeypatch):
     from linkweave.operators import infer
 
