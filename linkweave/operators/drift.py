@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import unfolded
 from .graph import last_wins
 
 
@@ -75,7 +76,7 @@ def function_changes(before: DataFrame, after: DataFrame, by_line: bool = True)
     key = ["file", "name", "line"] if by_line else ["file", "name"]
 
     def flat(codes: DataFrame) -> DataFrame:
-        return codes.select("file", F.posexplode("functions").alias("at", "f")).select("file", "at", "f.name", "f.kind", "f.line", "f.body_hash")
+        return unfolded(codes.select("file", "functions"), F.col("functions"), "f", "at").select("file", "at", "f.name", "f.kind", "f.line", "f.body_hash")
 
     old = flat(before).groupBy(*key).agg(F.max_by("body_hash", "at").alias("old_hash"))
     rows = flat(after).join(old, key).filter("old_hash <> body_hash")

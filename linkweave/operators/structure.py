@@ -22,7 +22,7 @@ def resolve_imports(files: DataFrame) -> DataFrame:
     the same directory, or the first counts.  Relative imports of dots only aren't
     resolved, and a file doesn't depend on itself.
     """
-    wants = files.select("file", F.explode("imports").alias("import")).distinct().filter("import rlike '[^.]'")
+    wants = X.unfolded(files.select("file", "imports"), F.col("imports"), "import").select("file", "import").distinct().filter("import rlike '[^.]'")
     slashed = F.replace("import", F.lit("."), F.lit("/"))
     tries = []
     for root in ROOTS:
@@ -133,7 +133,7 @@ def traversed(seen: DataFrame, calls: DataFrame) -> DataFrame:
 def resolve_symbols(rows: DataFrame) -> DataFrame:
     """Call edges of imported symbols (ord, symbol, file, callees): a reference means a symbol read before or with it, exactly or as the end of ``file::symbol``."""
     named = rows.select("ord", F.concat("file", F.lit("::"), "symbol").alias("key"), "symbol")
-    refs = rows.select("ord", F.concat("file", F.lit("::"), "symbol").alias("caller"), F.explode("callees").alias("ref")).distinct()
+    refs = X.unfolded(rows, F.col("callees"), "ref").select("ord", F.concat("file", F.lit("::"), "symbol").alias("caller"), "ref").distinct()
     # the first symbol of a key, and of a name, is the one meant wherever any is read before the reference
     exact = named.groupBy(F.col("key").alias("ref")).agg(F.min("ord").alias("eord"))
     ending = named.groupBy(F.col("symbol").alias("ref")).agg(F.min(F.struct("ord", "key")).alias("near"))

@@ -417,7 +417,7 @@ def ast_blocks(spark, d):
 @_query
 def tag_split(spark, d):
     tags = parse.html_tags(view(spark, d, "markdown")).filter("kind = 'satisfies'")
-    return tags.select("path", F.explode(X.split_values(F.col("value"))).alias("spec"))
+    return X.unfolded(tags, X.split_values(F.col("value")), "spec").select("path", "spec")
 
 
 @_query
@@ -447,10 +447,11 @@ def import_edges(spark, d):
 
 
 def _called(spark, d):
+    """Called names and functions of the sources, stored: they are read several times, and parsed once."""
     rows = view(spark, d, "sources")
-    called = rows.select(F.col("path").alias("file"), F.explode(parse.calls(F.col("text"))).alias("name"))
-    functions = parse.function_blocks(rows).join(rows.select("path", "ord"), "path").select(F.col("path").alias("file"), "name", (F.col("ord") * 100 + F.col("line")).alias("ord"))
-    return called, functions
+    called = X.unfolded(rows, parse.calls(F.col("text")), "name").select(F.col("path").alias("file"), "name")
+    functions = parse.function_blocks(rows, "ord").select(F.col("path").alias("file"), "name", (F.col("ord") * 100 + F.col("line")).alias("ord"))
+    return store(called), store(functions)
 
 
 @_query
