@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import top_dir
+from ..functions.text import top_dir, unfolded
 from ..schema import IMPLEMENTS, INFERRED, VERIFIES, WEAK
 from .graph import ranked
 from .substring import inside_pairs
@@ -17,18 +17,30 @@ from .substring import inside_pairs
 LEAST_CONFIDENCE, WEAK_BELOW = 0.15, 0.4
 #: Codes of one token that meet specs in one partition.
 HOT = 50_000
+#: Spec tokens that are sent to every task.
+SMALL = 200_000
 
 
 def _token_rows(specs: DataFrame, codes: DataFrame) -> DataFrame:
     """(spec_id, code_id, token, in_text, in_stem): a row for each token that a pair shares.
 
-    A token of more than ``HOT`` codes is dealt into parts by code, and the specs that
-    have it meet each part by itself.  The hot tokens are few, at most a ``HOT``-th of
-    all token rows, and are joined as their number tells.
+    Up to ``SMALL`` spec tokens go to every task, and codes are dealt by id, so a pair's
+    rows are made in the task that counts them.  Beyond, both sides meet by token; one
+    of more than ``HOT`` codes is dealt into parts by code, and the specs that have it
+    meet each part by itself.  The hot tokens are few, at most a ``HOT``-th of all token
+    rows, and are joined as their number tells.
     """
     s = specs.select("spec_id", F.explode("tokens").alias("token"))
-    c = codes.select("code_id", F.explode(F.array_union("tokens", "stem_tokens")).alias("token"), "tokens", "stem_tokens")
-    c = c.select("code_id", "token", F.array_contains("tokens", F.col("token")).alias("in_text"), F.array_contains("stem_tokens", F.col("token")).alias("in_stem"))
+    marks = F.concat(
+        F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(True).alias("in_text"), F.array_contains("stem_tokens", t).alias("in_stem"))),
+        F.transform(F.array_except("stem_tokens", "tokens"), lambda t: F.struct(t.alias("token"), F.lit(False).alias("in_text"), F.lit(True).alias("in_stem"))),
+    )
+    small = (specs.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= SMALL
+    if small:
+        codes = codes.select("code_id", "tokens", "stem_tokens").repartition(int(specs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code_id")
+    c = unfolded(codes, marks, "mark").select("code_id", "mark.*")
+    if small:
+        return c.join(F.broadcast(s), "token").select("spec_id", "code_id", "token", "in_text", "in_stem")
     hot = c.groupBy("token").count().filter(F.col("count") > HOT).select("token", F.ceil(F.col("count") / HOT).alias("parts"))
     s = s.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
     c = c.join(hot, "token", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("code_id"), "parts")))

@@ -296,6 +296,20 @@ def test_hot_tokens_are_dealt(spark, monkeypatch):
     assert rows() == whole and len(whole) == 200
 
 
+def test_few_spec_tokens_meet_codes_where_they_are(spark, monkeypatch):
+    from linkweave.operators import infer
+
+    s = spark.createDataFrame([(i, f"d{i % 2}/a.md", "a", ["shared", f"t{i}", "b"]) for i in range(5)], "spec_id long, file string, stem string, tokens array<string>")
+    c = spark.createDataFrame([(i, "d0/b.py", "b", ["shared", f"t{i}"], ["b", "shared"]) for i in range(40)], "code_id long, file string, stem string, tokens array<string>, stem_tokens array<string>")
+    rows = lambda: sorted(tuple(r) for r in infer.token_pairs(s, c).collect())
+    whole, plan = rows(), infer.token_pairs(s, c)._jdf.queryExecution().executedPlan().toString()
+    assert len(whole) == 200 and (0, 0, 2, 2, ["shared", "t0"], ["b", "shared"]) in whole
+    assert plan.count("Exchange hashpartitioning(") == 1 and "hashpartitioning(code_id" in plan  # neither tokens nor pairs are sent
+    for n in ("SMALL", "HOT"):
+        monkeypatch.setattr(infer, n, 3)
+        assert rows() == whole
+
+
 def test_guard(tmp_path):
     assert guard.allowed(tmp_path / ".linkweave/a/b.json", tmp_path)
     for bad in ("docs/x", "src/x", "x", "../x", ".linkweave/../src/x"):
