@@ -107,9 +107,14 @@ def reach(seeds: DataFrame, calls: DataFrame, max_depth: int = 3) -> DataFrame:
 
 
 def impact_seeds(graph: TraceGraph, functions: DataFrame, spec: str) -> DataFrame:
-    """Functions that any edge ties to a spec: function nodes themselves, and all functions (file, key) of file nodes."""
+    """Functions that any edge ties to a spec: function nodes themselves, and all functions (file, key) of file nodes.
+
+    What the edges hit is stored, so its size is known and the smaller side of each join
+    is sent, not all nodes or functions because their compressed columns are small.
+    """
     specs = graph.nodes.filter((F.col("type") == SPEC) & ((F.col("id") == spec) | F.endswith("id", F.lit(f".{spec}")))).select(F.col("id").alias("dst_id"))
-    src = graph.edges.join(specs, "dst_id", "left_semi").join(graph.nodes.select(F.col("id").alias("src_id"), "file"), "src_id").filter("file <> ''").select("src_id", "file")
+    hits = store(graph.edges.join(specs, "dst_id", "left_semi").select("src_id").distinct())
+    src = store(hits.join(graph.nodes.select(F.col("id").alias("src_id"), "file"), "src_id").filter("file <> ''").select("src_id", "file"))
     own = src.filter(F.contains("src_id", F.lit("::"))).select(F.col("src_id").alias("key"))
     whole = src.filter(~F.contains("src_id", F.lit("::"))).join(functions, "file").select("key")
     return own.union(whole).distinct()
