@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import unfolded
+from ..scratch import store
 from .graph import last_wins
 
 
@@ -100,10 +101,12 @@ def snapshot_counts(before: tuple[DataFrame, DataFrame, DataFrame], after: tuple
     """(category, n) of two snapshots (specs, codes, orphans), a row for each of the eleven counters.
 
     Specs count once an id; of a file in both snapshots each function counts whose body
-    isn't that of the last earlier function of its name.
+    isn't that of the last earlier function of its name.  Specs and orphans, which
+    several counters read, are stored without their bodies.
     """
     (bs, bc, bo), (as_, ac, ao) = before, after
-    as_ = _by_id(as_)
+    bs, as_ = store(bs.select("id", "title", "body_hash", "body_hash_content", "ord")), store(_by_id(as_))
+    bo, ao = store(bo.select("id")), store(ao.select("id"))
     changes = spec_changes(bs, as_).select("change")
     rows = [
         truly_added(bs, as_).select(F.lit("specs_added").alias("category")),

@@ -310,6 +310,14 @@ def test_few_spec_tokens_meet_codes_where_they_are(spark, monkeypatch):
         assert rows() == whole
 
 
+@pytest.mark.parametrize("query, table, most", [("impact_seeds", "lineitem", 0), ("snapshot_diff_full", "documents", 0), ("snapshot_diff_full", "lineitem", 0)])
+def test_large_tables_are_read_before_the_last_plan(spark, query, table, most):
+    from linkweave.plans.queries import QUERIES
+
+    df = QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert sum(f"{table}.parquet" in f for f in df.inputFiles()) <= most
+
+
 def test_guard(tmp_path):
     assert guard.allowed(tmp_path / ".linkweave/a/b.json", tmp_path)
     for bad in ("docs/x", "src/x", "x", "../x", ".linkweave/../src/x"):
