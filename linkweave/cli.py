@@ -151,7 +151,7 @@ def suggest(spark, a) -> int:
     cfg = config.load(a.project)
     specs, codes = store(spec_candidates(spark, a.project, cfg.spec_dirs, cfg.spec_files)), store(code_candidates(spark, a.project, cfg.source_dirs, cfg.source_files))
     alone = coverage.orphan_specs(adapters.heuristic_graph(specs, codes)).select(F.col("id").alias("auto_id"))
-    s, c = adapters.match_inputs(specs.join(alone, "auto_id", "left_semi"), codes)
+    s, c = (store(x) for x in adapters.match_inputs(specs.join(alone, "auto_id", "left_semi"), codes))
     rows = infer.suggest(s, c, 3 if a.top is None else a.top).join(s.select("spec_id", "auto_id"), "spec_id").select("auto_id", "code_id", "score", "rank")
     _print(rows.orderBy("auto_id", "rank"), argparse.Namespace(top=None, json=a.json))
     return 0

@@ -11,43 +11,63 @@ from pyspark.sql import functions as F
 
 from ..functions.text import top_dir, unfolded
 from ..schema import IMPLEMENTS, INFERRED, VERIFIES, WEAK
+from ..scratch import store
 from .graph import ranked
 from .substring import inside_pairs
 
 LEAST_CONFIDENCE, WEAK_BELOW = 0.15, 0.4
 #: Codes of one token that meet specs in one partition.
 HOT = 50_000
-#: Spec tokens that are sent to every task.
+#: Spec tokens, and specs, that are sent to every task.
 SMALL = 200_000
+#: Pairs of spec and code (beyond SMALL: rows of shared tokens) that one task counts, about.
+PAIRS = 500_000
 
 
-def _token_rows(specs: DataFrame, codes: DataFrame) -> DataFrame:
-    """(spec_id, code_id, token, in_text, in_stem): a row for each token that a pair shares.
+def _parts(df: DataFrame, pairs: int) -> int:
+    """Partitions for so many pairs: ``PAIRS`` each, but no fewer than any shuffle has."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
 
-    Up to ``SMALL`` spec tokens go to every task, and codes are dealt by id, so a pair's
-    rows are made in the task that counts them.  Beyond, both sides meet by token; one
-    of more than ``HOT`` codes is dealt into parts by code, and the specs that have it
-    meet each part by itself.  The hot tokens are few, at most a ``HOT``-th of all token
-    rows, and are joined as their number tells.
+
+def _overlaps(specs: DataFrame, codes: DataFrame, *near: tuple[DataFrame, Column]) -> DataFrame:
+    """Pairs that share a token, or a name in ``near``, with their counts and first tokens.
+
+    Each of ``near`` has (spec_id, token), the names near a spec, and a code's name; they
+    are joined as tokens of their own kind, which count for nothing.
+
+    Up to ``SMALL`` spec tokens go to every task.  Codes are dealt by id into as many
+    parts as specs times codes need, so a pair's rows are made and counted in one task,
+    and that holds no more pairs as the tables grow.  Beyond, both sides meet by token,
+    and the rows of a pair by its ids, in parts by the number of rows; a token of more
+    than ``HOT`` codes is dealt into parts by code, and the specs that have it meet each
+    part by itself.  The hot tokens are few, at most a ``HOT``-th of all token rows, and
+    are joined as their number tells.
     """
-    s = specs.select("spec_id", F.explode("tokens").alias("token"))
-    marks = F.concat(
-        F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(True).alias("in_text"), F.array_contains("stem_tokens", t).alias("in_stem"))),
-        F.transform(F.array_except("stem_tokens", "tokens"), lambda t: F.struct(t.alias("token"), F.lit(False).alias("in_text"), F.lit(True).alias("in_stem"))),
-    )
-    small = (specs.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= SMALL
+    mark = lambda kind, token, in_text, in_stem: F.struct(F.lit(kind).alias("kind"), token.alias("token"), in_text.alias("in_text"), in_stem.alias("in_stem"))
+    no, yes, none = F.lit(False), F.lit(True), F.array().cast("array<string>")
+    text, stem = F.coalesce("tokens", none), F.coalesce("stem_tokens", none)
+    s = specs.select("spec_id", F.lit(0).alias("kind"), F.explode("tokens").alias("token"))
+    marks = [F.transform(text, lambda t: mark(0, t, yes, F.array_contains(stem, t))), F.transform(F.array_except(stem, text), lambda t: mark(0, t, no, yes))]
+    for kind, (names, name) in enumerate(near, 1):
+        s = s.unionByName(names.select("spec_id", F.lit(kind).alias("kind"), "token"))
+        marks.append(F.array(mark(kind, name, no, no)))
+    s = store(s)
+    small = s.count() <= SMALL
+    columns = [x for x in ("code_id", "file", "stem", "tokens", "stem_tokens") if x in codes.columns]
     if small:
-        codes = codes.select("code_id", "tokens", "stem_tokens").repartition(int(specs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code_id")
-    c = unfolded(codes, marks, "mark").select("code_id", "mark.*")
+        codes = codes.select(*columns).repartition(_parts(s, specs.count() * codes.count()), "code_id")
+    c = unfolded(codes, F.concat(*marks), "mark").select("code_id", "mark.*")
     if small:
-        return c.join(F.broadcast(s), "token").select("spec_id", "code_id", "token", "in_text", "in_stem")
-    hot = c.groupBy("token").count().filter(F.col("count") > HOT).select("token", F.ceil(F.col("count") / HOT).alias("parts"))
-    s = s.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
-    c = c.join(hot, "token", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("code_id"), "parts")))
-    return s.drop("parts").join(c.drop("parts"), ["token", "part"]).select("spec_id", "code_id", "token", "in_text", "in_stem")
-
-
-def _overlaps(rows: DataFrame) -> DataFrame:
+        rows = c.join(F.broadcast(s), ["kind", "token"])
+    else:
+        n = c.groupBy("kind", "token").agg(F.count("*").alias("n_codes")).join(s.groupBy("kind", "token").agg(F.count("*").alias("n_specs")), ["kind", "token"], "left")
+        n = store(n.select("kind", "token", "n_codes", (F.col("n_codes") * F.greatest(F.coalesce("n_specs", F.lit(0)), F.lit(1))).alias("n")))
+        parts = _parts(s, n.agg(F.sum("n")).first()[0] or 0)
+        hot = n.filter(F.col("n_codes") > HOT).select("kind", "token", F.ceil(F.col("n_codes") / HOT).alias("parts"))
+        s = s.join(hot, ["kind", "token"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+        c = c.join(hot, ["kind", "token"], "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("code_id"), "parts")))
+        keys = ["kind", "token", "part"]
+        rows = s.drop("parts").repartition(parts, *keys).join(c.drop("parts").repartition(parts, *keys), keys).repartition(parts, "spec_id", "code_id")
     first = lambda flag: F.slice(F.array_sort(F.collect_set(F.when(F.col(flag), F.col("token")))), 1, 5)
     return rows.groupBy("spec_id", "code_id").agg(
         F.count_if("in_text").alias("n_symbol"), F.count_if("in_stem").alias("n_stem"), first("in_text").alias("symbol_tokens"), first("in_stem").alias("stem_tokens")
@@ -59,7 +79,7 @@ def token_pairs(specs: DataFrame, codes: DataFrame) -> DataFrame:
 
     ``specs`` has (spec_id, tokens), ``codes`` (code_id, tokens, stem_tokens).
     """
-    return _overlaps(_token_rows(specs, codes))
+    return _overlaps(specs, codes)
 
 
 def dir_pairs(specs: DataFrame, codes: DataFrame, partial: bool) -> DataFrame:
@@ -80,24 +100,23 @@ def _either(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     return inside_pairs(left, a, right, b).select(a, b).union(inside_pairs(right, b, left, a).select(a, b)).distinct()
 
 
-def stem_pairs(specs: DataFrame, codes: DataFrame) -> DataFrame:
-    """(spec_id, code_id) whose file stems are equal or inside each other, by distinct stems."""
-    s = specs.select("spec_id", F.lower("stem").alias("ss"))
-    c = codes.select("code_id", F.lower("stem").alias("cs"))
-    near = _either(s, "ss", c, "cs")
-    return s.join(near, "ss").join(c, "cs").select("spec_id", "code_id")
+def _near(specs: DataFrame, spec_name: Column, codes: DataFrame, code_name: Column) -> DataFrame:
+    """(spec_id, token): the codes' names that are equal to a spec's, inside it or around it, by distinct names."""
+    s, c = specs.select("spec_id", spec_name.alias("a")), codes.select(code_name.alias("token"))
+    return s.join(_either(s, "a", c, "token"), "a").select("spec_id", "token")
 
 
-def candidates(specs: DataFrame, codes: DataFrame, *more: DataFrame) -> DataFrame:
-    """Pairs that the graph builder scores, with what they share: those with a shared token, an equal or similar top directory, or in ``more``.
+def candidates(specs: DataFrame, codes: DataFrame, stems: bool = False) -> DataFrame:
+    """Pairs that the graph builder scores, with what they share: those with a shared token, an equal or similar top directory, or (``stems``) file stem.
 
-    Columns are those of ``token_pairs``; one token join and one aggregation serve all.
+    Columns are those of ``token_pairs``; one join and one aggregation serve all.
     """
-    rows = _token_rows(specs, codes)
-    none = {"token": F.lit(None).cast("string"), "in_text": F.lit(False), "in_stem": F.lit(False)}
-    for pairs in (dir_pairs(specs, codes, False), dir_pairs(specs, codes, True), *more):
-        rows = rows.unionByName(pairs.select("spec_id", "code_id").withColumns(none))
-    return _overlaps(rows)
+    folder = F.nullif(top_dir(F.col("file")), F.lit(""))
+    near = [(_near(specs, folder, codes, folder), folder)]
+    if stems:
+        stem = F.lower("stem")
+        near.append((_near(specs, stem, codes, stem), stem))
+    return _overlaps(specs, codes, *near)
 
 
 def _scaled(n: Column, size: Column, subset: Column | None = None) -> Column:
@@ -111,11 +130,13 @@ def score(pairs: DataFrame, specs: DataFrame, codes: DataFrame) -> DataFrame:
     """``pairs`` (``candidates``) with the signals s_dir, s_file, s_symbol, s_keyword and confidence.
 
     ``specs`` has (spec_id, file, stem, tokens), ``codes`` (code_id, file, stem,
-    tokens, stem_tokens).
+    tokens, stem_tokens).  Codes are looked up by hash, and so are specs, in every task if
+    up to ``SMALL``: pairs aren't sorted for it, nor all of a spec's sent to one task.
     """
     s = specs.select("spec_id", top_dir(F.col("file")).alias("sdir"), F.lower("stem").alias("ss"), F.size("tokens").alias("n_spec"))
     c = codes.select("code_id", top_dir(F.col("file")).alias("cdir"), F.lower("stem").alias("cs"), F.size("tokens").alias("n_code"), F.size("stem_tokens").alias("n_stems"))
-    rows = pairs.join(s, "spec_id").join(c, "code_id")
+    s = F.broadcast(s) if specs.count() <= SMALL else s.hint("shuffle_hash")
+    rows = pairs.join(s, "spec_id").join(c.hint("shuffle_hash"), "code_id")
     both = (F.col("sdir") != "") & (F.col("cdir") != "")
     inside = lambda a, b: F.contains(a, F.col(b)) | F.contains(b, F.col(a))
     n, k = F.col("n_symbol"), F.col("n_stem")
@@ -174,10 +195,10 @@ def suggest(orphans: DataFrame, codes: DataFrame, top: int = 3, least: float = 0
     of these pairs stands for the cross product.  Of equal scores the code found first
     counts: by ``ord`` if ``codes`` has it, else by id.
     """
-    rows = score(candidates(orphans, codes, stem_pairs(orphans, codes)), orphans, codes).filter(F.col("confidence") >= least)
+    rows = score(candidates(orphans, codes, stems=True), orphans, codes).filter(F.col("confidence") >= least)
     rows = rows.withColumn("score", F.round("confidence", 3))
     place = [F.asc("code_id")]
     if "ord" in codes.columns:
-        rows, place = rows.join(codes.select("code_id", "ord"), "code_id"), [F.asc("ord"), F.asc("code_id")]
+        rows, place = rows.join(codes.select("code_id", "ord").hint("shuffle_hash"), "code_id"), [F.asc("ord"), F.asc("code_id")]
     rows = ranked(rows, ["spec_id"], [F.desc("confidence"), *place])
     return rows.filter(F.col("rank") <= top).select("spec_id", "code_id", "score", "rank")

@@ -310,6 +310,31 @@ def test_few_spec_tokens_meet_codes_where_they_are(spark, monkeypatch):
         assert rows() == whole
 
 
+def test_suggest_counts_and_ranks_pairs_where_codes_are(spark, monkeypatch):
+    import re
+
+    from linkweave.operators import infer
+
+    s = spark.createDataFrame([(i, f"d{i % 2}/a.md", f"s{i}", ["shared", f"t{i}"]) for i in range(5)] + [(5, "a.md", "s1", [])], "spec_id long, file string, stem string, tokens array<string>")
+    codes = [(i, f"d{i % 3}x/b.py" if i % 4 else "b.py", f"s{i % 8}", ["shared"] * (i % 2) + [f"t{i}"], ["b"] * (i % 2), -i) for i in range(40)]
+    codes += [(40, "d1/c.py", None, ["shared"], None, 1), (41, None, "s4", None, [], 2)]
+    c = spark.createDataFrame(codes, "code_id long, file string, stem string, tokens array<string>, stem_tokens array<string>, ord long")
+    rows = lambda: sorted(tuple(r) for r in infer.suggest(s, c).collect())
+    every = infer.score(s.select("spec_id").crossJoin(c.select("code_id")).join(infer.token_pairs(s, c), ["spec_id", "code_id"], "left").fillna(0), s, c).join(c.select("code_id", "ord"), "code_id").collect()
+    best = {i: sorted((-r["confidence"], r["ord"], r["code_id"]) for r in every if r["spec_id"] == i and r["confidence"] >= 0.1)[:3] for i in range(6)}
+    whole = sorted((i, code, round(-x, 3), n) for i, top in best.items() for n, (x, _, code) in enumerate(top, 1))
+    assert rows() == whole and len(whole) == 18
+    monkeypatch.setattr(infer, "PAIRS", 20)
+    plan = infer.suggest(s, c)._jdf.queryExecution().executedPlan().toString()
+    sent = {re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)}
+    assert rows() == whole
+    assert sent == {"code_id, 13", "spec_id, 2"}  # 6 * 42 pairs, 20 a task; what each task has left
+    assert "SortMergeJoin" not in plan
+    monkeypatch.setattr(infer, "SMALL", 3)
+    monkeypatch.setattr(infer, "HOT", 3)
+    assert rows() == whole
+
+
 @pytest.mark.parametrize("query, table, most", [("impact_seeds", "lineitem", 0), ("snapshot_diff_full", "documents", 0), ("snapshot_diff_full", "lineitem", 0)])
 def test_large_tables_are_read_before_the_last_plan(spark, query, table, most):
     from linkweave.plans.queries import QUERIES
